@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,3 +48,11 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def hash_share(column: Column, share: float) -> Column:
     """True for about `share` of the distinct values, the same ones in every run."""
     return F.pmod(F.xxhash64(column), F.lit(1 << 30)) < F.lit(int(min(1.0, share) * (1 << 30)))
+
+
+def per_worker(key: tuple, make: Callable):
+    """What `make` gives, once for each Python worker and key: it outlives the task, as functions travel by value."""
+    held = sys.__dict__.setdefault("_lodestone_held", {})
+    if key not in held:
+        held[key] = make()
+    return held[key]
