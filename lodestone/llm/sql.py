@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lodestone.llm import url_filter
 from lodestone.llm.quality_rules import DELTA, MAX_REPEAT_PERCENT, MIN_WORDS, RISK, RULES
 
 ORACLES: dict[str, str] = {}
@@ -34,3 +35,21 @@ hits AS (SELECT DISTINCT b.k FROM b JOIN best USING (stratum) WHERE {_MEASURE} >
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND hits.k IS NULL AS kept
 FROM b LEFT JOIN hits ON hits.k = b.k
 """
+
+_A_Z = ", ".join(["'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"])
+_RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in url_filter.RULES)
+_TERMS = ", ".join(f"('{k}', '{t}')" for k, terms in (("strict", url_filter.STRICT), ("soft", url_filter.SOFT)) for t in terms)
+
+ORACLES["op9_url_filter"] = rf"""
+WITH r AS (SELECT row_number() OVER () AS k, page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT k, page_id, translate(regexp_extract(rest, '^[^/?#]*'), {_A_Z}) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+rules(verdict, h, s) AS (VALUES {_RULES}),
+fit AS (SELECT k, h || s AS rule, verdict FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s)
+        QUALIFY row_number() OVER (PARTITION BY k ORDER BY length(h || s) DESC, h || s DESC) = 1),
+terms(kind, term) AS (VALUES {_TERMS}),
+found AS (SELECT k, count(*) FILTER (kind = 'strict') AS n_strict, count(*) FILTER (kind = 'soft') AS n_soft
+          FROM p JOIN terms ON regexp_matches(translate(host || path, {_A_Z}), '(^|[^a-z0-9])' || term || '($|[^a-z0-9])') GROUP BY k)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN coalesce(n_strict, 0) >= 1 OR coalesce(n_soft, 0) >= {url_filter.SOFT_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
+  coalesce(n_strict, 0) AS n_strict, coalesce(n_soft, 0) AS n_soft
+FROM p LEFT JOIN fit ON fit.k = p.k LEFT JOIN found ON found.k = p.k
+"""
