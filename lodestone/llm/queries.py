@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import packing, quality_classifier, quality_rules, token_counts, url_filter
+from lodestone.llm import bpe, packing, quality_classifier, quality_rules, token_counts, url_filter
 from lodestone.llm.common import stage
 from lodestone.llm.tokens import fixed_path
 
@@ -27,6 +27,13 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    file = fixed_path("byte_bpe_50k.tiktoken")
+    coded = bpe.decode_ids(bpe.encode_texts(table(spark, sf_dir, "documents"), file), file)
+    digits = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(digits, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(table(spark, sf_dir, "documents"), fixed_path("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -45,6 +52,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_quality_rules": op2_quality_rules,
+    "op4_byte_bpe": op4_byte_bpe,
     "op5_packing": op5_packing,
     "op8_token_counts": op8_token_counts,
     "op9_url_filter": op9_url_filter,
