@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, packing, quality_classifier, quality_rules, token_counts, url_filter
-from lodestone.llm.common import stage
+from lodestone.llm import bpe, packing, quality_classifier, quality_rules, token_counts, token_files, url_filter
+from lodestone.llm.common import stage, stage_path
 from lodestone.llm.tokens import fixed_path
 
 
@@ -39,6 +39,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = stage_path(spark, "token-files")
+    token_files.write_files(table(spark, sf_dir, "documents"), fixed_path("byte_bpe_50k.json"), folder, vocabulary_size=50_257)
+    return token_files.read_documents(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), fixed_path("piece_bpe_32k.model"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
@@ -54,6 +60,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_packing": op5_packing,
+    "op6_token_files": op6_token_files,
     "op8_token_counts": op8_token_counts,
     "op9_url_filter": op9_url_filter,
 }
