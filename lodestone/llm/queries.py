@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, packing, quality_classifier, quality_rules, token_counts, token_files, url_filter
+from lodestone.llm import ann, bpe, packing, quality_classifier, quality_rules, token_counts, token_files, url_filter
 from lodestone.llm.common import stage, stage_path
 from lodestone.llm.tokens import fixed_path
 
@@ -29,7 +29,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     file = fixed_path("byte_bpe_50k.tiktoken")
-    coded = bpe.decode_ids(bpe.encode_texts(table(spark, sf_dir, "documents"), file), file)
+    coded = bpe.round_trip(table(spark, sf_dir, "documents"), file)
     digits = F.array_join(F.col("ids").cast("array<string>"), " ")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(digits, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -45,6 +45,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), fixed_path("piece_bpe_32k.model"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
@@ -61,6 +65,7 @@ QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_packing": op5_packing,
     "op6_token_files": op6_token_files,
+    "op7_nearest": op7_nearest,
     "op8_token_counts": op8_token_counts,
     "op9_url_filter": op9_url_filter,
 }
