@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from lodestone.llm.common import id_text, per_worker
-from lodestone.llm.tokens import CACHE_ENTRIES, PieceCache, pattern
+from lodestone.llm.tokens import PieceCache, pattern
 
 LONGEST_ROW = 1024
 #: Cells of a matrix.
@@ -70,7 +70,6 @@ class PairTable:
 
 class ByteBPE:
     def __init__(self, ranks: dict[bytes, int]):
-        self.bytes_of = {i: t for t, i in ranks.items()}
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         pairs = {}
         for token, i in ranks.items():
@@ -80,7 +79,6 @@ class ByteBPE:
                     pairs[a, b] = i
         self.pairs, self.table = pairs, PairTable(pairs)
         self.split = regex.compile(pattern()).findall
-        self.cache: dict[str, bytes] = {}
         self.encode = PieceCache(self.texts, self.texts)
 
     def matches(self, matches: list[bytes]) -> list[bytes]:
@@ -158,58 +156,76 @@ class ByteBPE:
         return np.array([x for x in ids if x is not None], "<u4").tobytes()
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        """Split, and merge what no earlier text had."""
-        cache = self.cache
-        if len(cache) > CACHE_ENTRIES // 2:
-            cache.clear()
+        """Split by the pattern, and merge each distinct match once."""
         split = list(map(self.split, texts))
-        new: set[str] = set()
-        for found in split:
-            new |= set(found).difference(cache)
-        words = list(new)
-        cache.update(zip(words, self.matches([w.encode() for w in words]), strict=True))
-        out = [b"".join(map(cache.__getitem__, found)) for found in split]
-        for w in words:
-            if len(w) > 64:
-                del cache[w]
-        return out
+        words = list(set().union(*split))
+        ids = dict(zip(words, self.matches([w.encode() for w in words]), strict=True))
+        return [ids[found[0]] if len(found) == 1 else b"".join(map(ids.__getitem__, found)) for found in split]
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
 
+class Decoder:
+    """ids to bytes: the tokens' bytes stand in one array, and a gather copies them out."""
 
-def load(file: str) -> ByteBPE:
-    """From a file of lines with a token in base 64 and its rank; one for each worker."""
+    def __init__(self, ranks: dict[bytes, int]):
+        self.length = np.zeros(max(ranks.values(), default=-1) + 1, np.int64)
+        self.length[list(ranks.values())] = list(map(len, ranks))
+        self.start = np.cumsum(self.length) - self.length
+        self.blob = np.frombuffer(b"".join(sorted(ranks, key=ranks.__getitem__)), np.uint8)
 
-    def make() -> ByteBPE:
-        with open(file, "rb") as f:
-            return ByteBPE({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)})
+    def __call__(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids in a row, and where each id's bytes end."""
+        n = self.length[ids]
+        ends = np.cumsum(n)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[ids] - (ends - n), n)
+        return self.blob[at], ends
 
-    return per_worker(("bpe", file), make)
 
+def read_ranks(file: str) -> dict[bytes, int]:
+    """From a file of lines with a token in base 64 and its rank."""
+    with open(file, "rb") as f:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
-def encode_texts(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids array<int>: one row for each document; a map without a shuffle."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = load(file).encode
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids = encode(part.column("text").to_pylist())
-                ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))], names=["doc_id", "ids"])
+def load(file: str) -> ByteBPE:
+    """One for each worker."""
+    return per_worker(("bpe", file), lambda: ByteBPE(read_ranks(file)))
+
+
+def encode_batches(batches: Iterable[pa.RecordBatch], file: str) -> Iterator[pa.RecordBatch]:
+    """doc_id, text to doc_id, ids."""
+    encode = load(file).encode
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
+            ids = encode(part.column("text").to_pylist())
+            ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))], names=["doc_id", "ids"])
+
+
+def decode_batches(batches: Iterable[pa.RecordBatch], file: str) -> Iterator[pa.RecordBatch]:
+    """doc_id, ids to doc_id, ids, decoded."""
+    decode = per_worker(("decoder", file), lambda: Decoder(read_ranks(file)))
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1024):
+            batch = whole.slice(at, 1024)
+            lists = batch.column("ids")
+            counts = np.array(lists.value_lengths().fill_null(0), np.int64)
+            decoded, ends = decode(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
+            bounds = np.append(0, ends)[np.append(0, np.cumsum(counts))]
+            binary = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(decoded)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, binary], names=["doc_id", "ids", "decoded"])
+
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
+def encode_texts(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids array<int>: one row for each document; a map without a shuffle."""
+    return id_text(docs, id_col, text_col).mapInArrow(lambda batches: encode_batches(batches, file), "doc_id long, ids array<int>")
 
 
 def decode_ids(encoded: DataFrame, file: str) -> DataFrame:
     """doc_id, ids, decoded binary."""
+    return encoded.select("doc_id", "ids").mapInArrow(lambda batches: decode_batches(batches, file), "doc_id long, ids array<int>, decoded binary")
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = load(file).decode
-        for batch in batches:
-            decoded = [decode(x or []) for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(decoded, pa.binary())], names=["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+def round_trip(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """encode_texts, then decode_ids, in one worker instead of two."""
+    return id_text(docs, id_col, text_col).mapInArrow(lambda batches: decode_batches(encode_batches(batches, file), file), "doc_id long, ids array<int>, decoded binary")
