@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import ann, bpe, packing, quality_classifier, quality_rules, token_counts, token_files, url_filter
+from lodestone.llm import ann, bpe, packing, quality_classifier, quality_rules, repeats, token_counts, token_files, url_filter
 from lodestone.llm.common import stage, stage_path
 from lodestone.llm.tokens import fixed_path
 
@@ -59,6 +59,13 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", F.size("strict_hits").cast("long").alias("n_strict"), F.size("soft_hits").cast("long").alias("n_soft"))
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans, _ = repeats.cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return spans.select(
+        F.nullif("doc_id", F.lit(repeats.NULL_ID)).alias("doc_id"), "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_quality_rules": op2_quality_rules,
@@ -68,4 +75,5 @@ QUERIES = {
     "op7_nearest": op7_nearest,
     "op8_token_counts": op8_token_counts,
     "op9_url_filter": op9_url_filter,
+    "op10_repeats": op10_repeats,
 }
