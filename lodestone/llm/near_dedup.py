@@ -5,6 +5,24 @@ Jiang, 2018), which for equal weights is the Jaccard similarity. ProbMinHash (Er
 is a Poisson process of arrivals, its rate the shingle's weight, and each arrival falls on a random register; a register
 keeps the shingle that came first. Arrivals of one shingle are the same in every document, so the share of equal
 registers estimates the similarity. A shingle stops once its next arrival is later than all registers' first ones.
+
+Texts of the same words are one node. A node's registers, sixteen bits each, are cut into BANDS keys of ROWS; nodes that
+share a key are candidates. They are compared in turns, and never all with all while a cheaper turn may still join them:
+
+1. each node of a key with the key's first node;
+2. in CHAINS turns, neighbours in a random order of the key's nodes, if they aren't in one group yet; large keys are
+   split at random for that;
+3. all nodes of a key that are in different groups by now. Each pair is taken at one of the keys that it shares, and
+   goes on if its registers' estimate isn't far below the threshold. Keys with many groups are first split by a second
+   shared band.
+
+Every pair that goes on is verified on the exact similarity of the shingles, so groups have no false link, and two texts
+at the threshold are missed with a chance of (1 - SIMILARITY ** ROWS) ** BANDS, about 2 in 100 000. Groups are connected
+components of verified links, found by contraction with joins; nothing is gathered by the driver.
+
+Defined results: null and empty texts, and those of blanks alone, have no words and are copies of one another. A text
+shorter than a shingle is one shingle. Every row gets its class, rows of one id too; a class is named by its smallest
+id (null if it has none), and the row kept is one of that id. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -13,12 +31,22 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import stage, stage_path
+from lodestone.llm.part_files import filter_rows, write_rows
+
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 36, 6
 REGISTERS = BANDS * ROWS
+CHAINS, CHAIN_ROWS = 3, 4096
+#: Keys with more groups than this are split by a second band before all pairs are taken.
+MANY_GROUPS = 64
+#: Standard errors of the registers' estimate below the threshold at which a pair needs no verification.
+DOUBT = 5.0
+#: Members that one task compares with a node.
+MEMBERS = 4096
 
 _U = np.uint64
 
@@ -30,9 +58,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def word_hashes(text: Column) -> Column:
-    """Hashes of the words, parted by white space, in lower case."""
-    return F.transform(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""), lambda w: F.xxhash64(w))
+def split_words(text: Column) -> Column:
+    """The words, parted by white space, in lower case."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
 
 
 def shingles(words: np.ndarray, counts: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,9 +128,173 @@ def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_docs:
     return held
 
 
-def band_keys(held: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """A 64-bit key for each band of each document."""
-    key = np.zeros((len(held), bands), np.uint64) + np.arange(1, bands + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)
-    for r in range(rows):
-        key = mix(key * _U(0xD6E8FEB86659FD93) + held[:, r::rows][:, :bands])
-    return key
+def signed(words: DataFrame, registers: int = REGISTERS) -> DataFrame:
+    """words: any columns and `words`, hashes of each text's words. The same with `registers` (16 bits each) instead."""
+    fields = [f for f in words.schema.fields if f.name != "words"]
+    names = [f.name for f in fields]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                lists = batch.column("words")
+                counts = np.array(lists.value_lengths(), np.int64)
+                doc, element, weight = shingles(lists.flatten().to_numpy(zero_copy_only=False), counts)
+                held = (mix(signatures(doc, element, weight, len(counts), registers)) >> _U(48)).astype("<u2")
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array([r.tobytes() for r in held], pa.binary())], names=[*names, "registers"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    return words.mapInArrow(run, f"{schema}, registers binary")
+
+
+def band(registers: Column, number: Column) -> Column:
+    """The key of one band."""
+    return F.xxhash64(number, F.substring(registers, number * (2 * ROWS) + 1, F.lit(2 * ROWS)))
+
+
+def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> float:
+    """Exact similarity of weighted sets: sorted distinct elements a, b and their weights x, y."""
+    every = np.union1d(a, b)
+    p, q = np.zeros(len(every)), np.zeros(len(every))
+    p[np.searchsorted(every, a)] = x
+    q[np.searchsorted(every, b)] = y
+    with np.errstate(divide="ignore"):
+        ratio = p / q
+    order = np.argsort(ratio, kind="stable")
+    p, q, ratio = p[order], q[order], ratio[order]
+    # sum over d' of max(p[d'] / p[d], q[d'] / q[d]): the first wins where the ratio is at least d's
+    at = np.searchsorted(ratio, ratio, "left")
+    high = np.append(np.cumsum(p[::-1])[::-1], 0)[at]
+    low = np.append(0, np.cumsum(q))[at]
+    both = (p > 0) & (q > 0)
+    return float((1 / (high[both] / p[both] + low[both] / q[both])).sum())
+
+
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float, partitions: int) -> DataFrame:
+    """a, b of `pairs` (distinct) whose texts are similar. texts: node, words. Each a's text meets its b's in blocks of MEMBERS."""
+    counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks"))
+    members = pairs.join(counts, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")).join(texts.withColumnRenamed("node", "b"), "b").select("a", "block", F.col("b").alias("b"), "words")
+    heads = counts.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).join(texts.withColumnRenamed("node", "a"), "a").select("a", "block", F.lit(None).cast("long").alias("b"), "words")
+    met = heads.unionByName(members).repartition(partitions, "a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head: tuple | None = None
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                lists = batch.column("words")
+                counts = np.array(lists.value_lengths(), np.int64)
+                doc, element, weight = shingles(lists.flatten().to_numpy(zero_copy_only=False), counts)
+                edges = np.searchsorted(doc, np.arange(len(counts) + 1))
+                out: list[tuple[int, int]] = []
+                for k, (a, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)):
+                    own = element[edges[k] : edges[k + 1]], weight[edges[k] : edges[k + 1]]
+                    if b is None:
+                        head = own
+                    elif probability_jaccard(*head, *own) >= threshold - 1e-12:
+                        out.append((a, b))
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+
+    return met.mapInArrow(run, "a long, b long")
+
+
+def mapped(df: DataFrame, column: str, to: DataFrame) -> DataFrame:
+    """A column replaced by what `to` (node, label) has for it, if anything."""
+    return df.join(to.select(F.col("node").alias(column), F.col("label").alias("__to")), column, "left").withColumn(column, F.coalesce("__to", column)).drop("__to")
+
+
+def contract(edges: DataFrame) -> DataFrame:
+    """node, label: every node of the edges (a, b) that isn't the smallest of its component, and that smallest."""
+    spark = edges.sparkSession
+    left = stage(edges.where("a <> b").distinct(), "edges")
+    labels = None
+    while not left.isEmpty():
+        ends = left.select("a", "b").unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        step = stage(ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).where("label < node"), "step")
+        labels = stage(step if labels is None else mapped(labels, "label", step).unionByName(step.join(labels.select("node"), "node", "left_anti")), "labels")
+        left = stage(mapped(mapped(left, "a", step), "b", step).where("a <> b").distinct(), "edges")
+    return labels if labels is not None else spark.createDataFrame([], "node long, label long")
+
+
+def joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """The labels after more edges between nodes."""
+    more = contract(mapped(mapped(edges, "a", labels), "b", labels))
+    return stage(mapped(labels, "label", more).unionByName(more.join(labels.select("node"), "node", "left_anti")), "labels")
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY, carry: tuple[str, ...] = (), width: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """(row, doc_id, class_id, kept) for every row, and the staged rows themselves: row, doc_id, text, the carried columns."""
+    spark = docs.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"carried_{c}") for c in carry))
+    rows = stage(rows, "documents")
+    words = split_words(F.col("text"))
+    seen = rows.select("row", "doc_id", F.unhex(F.substring(F.sha2(F.array_join(words, " "), 256), 1, 32)).alias("same"), F.transform(words, lambda w: F.xxhash64(w)).alias("words"))
+    copies = stage(signed(seen), "signed")
+    # one node for each sequence of words, named by its first row; copies are counted before the shuffle
+    nodes = stage(copies.groupBy("same").agg(F.min("row").alias("node"), F.min("doc_id").alias("low"), F.first("registers").alias("registers")), "nodes")
+    signs = nodes.where(F.col("registers") != F.lit(EMPTY)).select("node", "registers")
+    keys = signs.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: band(F.col("registers"), k))).alias("key"))
+    shared = keys.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
+    met = stage(keys.join(shared, "key"), "candidates")
+    folder = stage_path(spark, "candidate-rows")
+    write_rows(met.select(F.col("node").alias("row")).distinct(), folder, partitions)
+    texts = filter_rows(rows.select("row", "text"), folder, keep=True).select(F.col("row").alias("node"), F.transform(words, lambda w: F.xxhash64(w)).alias("words"))
+    texts = stage(texts, "candidate-texts")
+
+    # 1. with the first of each key
+    edges = verified(met.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), texts, threshold, partitions)
+    labels = stage(contract(stage(edges, "links")), "labels")
+    # 2. with neighbours in a random order
+    for turn in range(CHAINS):
+        now = mapped(met.select("key", "n", "node", F.col("node").alias("label")), "label", labels)
+        order = Window.partitionBy("key", F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("n") / CHAIN_ROWS))).orderBy(F.xxhash64("node", F.lit(-1 - turn)), "node")
+        near = now.withColumns({"a": F.lag("node").over(order), "other": F.lag("label").over(order)}).where("other <> label")
+        pairs = near.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+        labels = joined(labels, stage(verified(pairs, texts, threshold, partitions), "links"))
+    # 3. all that are still apart
+    now = mapped(met.select("key", "node", F.col("node").alias("label")), "label", labels)
+    apart = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.approx_count_distinct("label").alias("groups")).where("low <> high").select("key", "groups")
+    open_ = stage(now.join(apart, "key"), "apart")
+    marked = open_.join(signs, "node")
+    split = marked.where(F.col("groups") > MANY_GROUPS).select("node", "label", "registers", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64("key", band(F.col("registers"), k)))).alias("key"))
+    whole = marked.where(F.col("groups") <= MANY_GROUPS).select("node", "label", "registers", "key")
+    some = stage(whole.unionByName(split), "apart")
+    left, right = (some.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "label", "registers"))) for side in "ab")
+    crossed = left.join(right, "key").where("label_a <> label_b and node_a < node_b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), F.col("registers_a").alias("x"), F.col("registers_b").alias("y"))
+    labels = joined(labels, stage(verified(likely(crossed, threshold).distinct(), texts, threshold, partitions), "links"))
+
+    named = mapped(nodes.select("same", "node", "low", F.col("node").alias("label")), "label", labels)
+    named = stage(named, "named")
+    classes = named.groupBy("label").agg(F.min("low").alias("class_id"))
+    of_text = named.join(classes, "label").select("same", "label", "class_id")
+    out = stage(copies.select("row", "doc_id", "same").join(of_text, "same").select("row", "doc_id", "label", "class_id"), "classed")
+    first = out.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("label").agg(F.min("row").alias("row"))
+    return out.join(first.select("row", F.lit(True).alias("kept")), "row", "left").select("row", "doc_id", "class_id", F.coalesce("kept", F.lit(False)).alias("kept")), rows
+
+
+def likely(pairs: DataFrame, threshold: float) -> DataFrame:
+    """a, b of pairs with registers x, y whose estimate isn't DOUBT standard errors below the threshold."""
+    least = threshold - DOUBT * (threshold * (1 - threshold) / REGISTERS) ** 0.5
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(batch.num_rows, REGISTERS) for c in "xy")
+            yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(1) >= least))
+
+    return pairs.mapInArrow(run, "a long, b long")
+
+
+#: The registers of a text without words.
+EMPTY = bytes((mix(np.zeros(REGISTERS, np.uint64)) >> _U(48)).astype("<u2").tobytes())
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
+    """`docs` without all but one of each class; no text is shuffled."""
+    others = tuple(c for c in docs.columns if c not in (id_col, text_col))
+    classed, rows = groups(docs, id_col, text_col, threshold, others)
+    folder = stage_path(docs.sparkSession, "dropped-rows")
+    write_rows(classed.where(~F.col("kept")).select("row"), folder, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    kept = filter_rows(rows, folder, keep=False)
+    named = {id_col: F.col("doc_id"), text_col: F.col("text")} | {c: F.col(f"carried_{c}") for c in others}
+    return kept.select(*(named[c].alias(c) for c in docs.columns))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import ann, bpe, packing, quality_classifier, quality_rules, repeats, token_counts, token_files, url_filter
+from lodestone.llm import ann, bpe, near_dedup, packing, quality_classifier, quality_rules, repeats, token_counts, token_files, url_filter
 from lodestone.llm.common import stage, stage_path
 from lodestone.llm.tokens import fixed_path
 
@@ -27,6 +27,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classed, _ = near_dedup.groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return classed.select("doc_id", "class_id", "kept")
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     file = fixed_path("byte_bpe_50k.tiktoken")
     coded = bpe.round_trip(table(spark, sf_dir, "documents"), file)
@@ -69,6 +74,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_quality_rules": op2_quality_rules,
+    "op3_near_dedup": op3_near_dedup,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_packing": op5_packing,
     "op6_token_files": op6_token_files,

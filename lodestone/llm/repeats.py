@@ -31,13 +31,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.parquet as pq
-from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import hash_share, stage_path
-from lodestone.llm.token_files import file_system
+from lodestone.llm.part_files import IN_PART, PartFiles, Planes
 
 LENGTH, GRAM = 50, 24
 #: Bytes of texts that a task works on at once.
@@ -140,33 +138,12 @@ def slices(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, np.
         yield out()
 
 
-class Planes:
-    """Numbers in a row as planes of bytes, each of which compresses by itself."""
-
-    @staticmethod
-    def pack(*columns: tuple[np.ndarray, int]) -> bytes:
-        n = len(columns[0][0])
-        return np.array([n], "<u4").tobytes() + b"".join(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(n, 8)[:, :width].T).tobytes() for x, width in columns)
-
-    @staticmethod
-    def unpack(blob: bytes, *widths: int) -> list[np.ndarray]:
-        n = int(np.frombuffer(blob, "<u4", 1)[0])
-        at, out = 4, []
-        for width in widths:
-            wide = np.zeros((n, 8), np.uint8)
-            wide[:, :width] = np.frombuffer(blob, np.uint8, n * width, at).reshape(width, n).T
-            at += n * width
-            out.append(wide.view("<u8").ravel())
-        return out
-
-
 #: Widths of an entry: key (its low part; the rest chose the bucket), context hash, number of the text in the slice, first window, windows.
 ENTRY = (5, 7, 3, 4, 1)
 #: Of what is asked of a part: row within the part, first window, windows, key, window by window.
 ASKED = (5, 5, 1, 8)
 #: Of what is covered in a part: row within the part, first byte, bytes.
 COVERED = (5, 5, 5)
-_IN_PART = (1 << 33) - 1
 
 
 def batch_of(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
@@ -222,7 +199,7 @@ def covers(row: np.ndarray, start: np.ndarray, n: np.ndarray) -> list[dict]:
     row, start = row[at], start[at]
     part = row >> 33
     edges = np.flatnonzero(np.append(True, np.diff(part) != 0)).tolist()
-    return [{"bucket": None, "part": int(part[a]), "rows": None, "blob": Planes.pack((row[a:b] & _IN_PART, 5), (start[a:b], 5), ((end - start)[a:b], 5))} for a, b in zip(edges, [*edges[1:], len(row)], strict=True)]
+    return [{"bucket": None, "part": int(part[a]), "rows": None, "blob": Planes.pack((row[a:b] & IN_PART, 5), (start[a:b], 5), ((end - start)[a:b], 5))} for a, b in zip(edges, [*edges[1:], len(row)], strict=True)]
 
 
 def by_bucket(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
@@ -277,7 +254,7 @@ def meet(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
         edges = np.flatnonzero(np.append(True, np.diff(part) != 0)).tolist() if len(ask) else []
         for a, b in zip(edges, [*edges[1:], len(ask)], strict=True) if edges else ():
             some = ask[a:b]
-            out.append({"kind": "asked", "part": int(part[a]), "blob": Planes.pack((rows[some] & _IN_PART, 5), (place[some], 5), (count[some], 1), (key[some], 8))})
+            out.append({"kind": "asked", "part": int(part[a]), "blob": Planes.pack((rows[some] & IN_PART, 5), (place[some], 5), (count[some], 1), (key[some], 8))})
         for r in out:
             r.pop("bucket", None)
             r.pop("rows", None)
@@ -285,37 +262,6 @@ def meet(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
             yield batch_of(out, schema)
 
 
-class PartFiles:
-    """What was written for a part: blobs of one table, partitioned by part in a shared folder; a few parts are held."""
-
-    def __init__(self, folder: str, widths: tuple[int, ...]):
-        self.folder, self.widths = folder, widths
-        self.fs, self.base = file_system(folder)
-        self.held: dict[int, list[np.ndarray]] = {}
-
-    def __call__(self, part: int) -> list[np.ndarray]:
-        """The part's columns, sorted by row."""
-        if part not in self.held:
-            if len(self.held) > 1:
-                self.held.clear()
-            found = self.fs.get_file_info(arrow_fs.FileSelector(f"{self.base}/part={part}", allow_not_found=True))
-            blobs: list[bytes] = []
-            for info in found:
-                if info.path.endswith(".parquet"):
-                    with self.fs.open_input_file(info.path) as f:
-                        blobs += pq.ParquetFile(f).read(columns=["blob"]).column("blob").to_pylist()
-            columns = [Planes.unpack(b, *self.widths) for b in blobs]
-            joined = [np.concatenate(c).view(np.int64) for c in zip(*columns, strict=True)] if columns else [np.zeros(0, np.int64) for _ in self.widths]
-            order = np.argsort(joined[0], kind="stable")
-            self.held[part] = [c[order] for c in joined]
-        return self.held[part]
-
-    def of_row(self, row: int) -> list[np.ndarray]:
-        columns = self(row >> 33)
-        a, b = np.searchsorted(columns[0], [row & _IN_PART, (row & _IN_PART) + 1])
-        return [c[a:b] for c in columns[1:]]
-
-
 def contexts(batches: Iterable[pa.RecordBatch], folder: str, buckets: int, length: int) -> Iterator[pa.RecordBatch]:
     """The bytes that were asked for, in blobs by key."""
     schema = pa.schema([("bucket", pa.int32()), ("info", pa.binary()), ("blob", pa.binary())])
