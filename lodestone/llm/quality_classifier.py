@@ -199,17 +199,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trainin
 
 
 def apply(docs: DataFrame, model: QualityModel, text_col: str = "text", threshold: float = 0.5, score_col: str = "quality_score", keep_col: str = "quality_kept") -> DataFrame:
-    """`docs` with the scorer's estimate that a document is good, and whether it reaches `threshold`. All columns stay; no shuffle."""
+    """`docs` with the scorer's estimate that a document is good, and whether it reaches `threshold`. All columns stay, but for those of the two names, which are replaced; no shuffle."""
     weights = model.weights
-    taken = {c.lower() for c in docs.columns}
-    if {score_col.lower(), keep_col.lower()} & taken:
-        raise ValueError(f"{score_col} or {keep_col} is a column of the input already")
-    schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType()), T.StructField(keep_col, T.BooleanType())])
+    text = F.col(f"`{text_col}`").alias("__text")
+    fields = [f for f in docs.schema.fields if f.name.lower() not in (score_col.lower(), keep_col.lower())]
+    names = [f.name for f in fields]
+    schema = T.StructType([*fields, T.StructField(score_col, T.DoubleType()), T.StructField(keep_col, T.BooleanType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes = Shapes()
         for batch in batches:
-            p = [score(text or "", weights, shapes) for text in batch.column(text_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64()), pa.array([x >= threshold for x in p], pa.bool_())], names=[*batch.schema.names, score_col, keep_col])
+            p = [score(text or "", weights, shapes) for text in batch.column(len(names)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(p, pa.float64()), pa.array([x >= threshold for x in p], pa.bool_())], names=[*names, score_col, keep_col])
 
-    return docs.mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{n}`") for n in names), text).mapInArrow(run, schema)

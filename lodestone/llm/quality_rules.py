@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import stage
+
 #: A word is a run of anything but blanks of ASCII.
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = "#*$%&|<>"
@@ -115,3 +117,11 @@ def judge(measured: DataFrame, cutoffs: DataFrame, stratum_col: str = "lang") ->
     for rule, measure in measures().items():
         hit = hit | F.coalesce(measure > F.col(f"__c_{rule}"), F.lit(False))
     return joined.withColumn("kept", ~F.col("base_failed") & ~hit).drop("__s", "__stratum", *(f"__c_{rule}" for rule, _ in RULES))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
+    """`docs` without those that are rejected. Texts are measured once and staged with their measures; no text is shuffled."""
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(id_col).alias("doc_id"), F.col(stratum_col).alias("lang"), F.col(text_col).alias("text"))
+    measured = stage(metrics(packed).drop("text"), "measured")
+    cutoffs = stage(select_cutoffs(measured, labels), "cutoffs")
+    return judge(measured, cutoffs).where("kept").select("doc.*")

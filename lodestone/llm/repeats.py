@@ -404,15 +404,16 @@ def find(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
             yield batch_of([{"kind": "covered", "part": r["part"], "blob": r["blob"]} for r in out], schema)
 
 
-def cut(batches: Iterable[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
-    """The covered spans of each text, and what is left of it."""
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
+def cut(batches: Iterable[pa.RecordBatch], folder: str, carried: list[str], whole_characters: bool) -> Iterator[pa.RecordBatch]:
+    """The covered spans of each text, and what is left of it. whole_characters: spans shrink to the characters that they cover whole."""
+    spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     files = PartFiles(folder, COVERED)
     for whole in batches:
         for at in range(0, whole.num_rows, 1024):
             batch = whole.slice(at, 1024)
-            out = []
-            for row, doc_id, text in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            found, left = [], []
+            texts = batch.column("text").to_pylist()
+            for row, text in zip(batch.column("row").to_pylist(), texts, strict=True):
                 start, n = files.of_row(row)
                 spans, kept = [], text
                 if len(start):
@@ -420,9 +421,23 @@ def cut(batches: Iterable[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBat
                     start, reach = start[order], np.maximum.accumulate((start + n)[order])
                     new = np.flatnonzero(np.append(True, start[1:] > reach[:-1]))
                     spans = list(zip(start[new].tolist(), reach[np.append(new[1:], len(reach)) - 1].tolist(), strict=True))
+                    if whole_characters:
+                        spans = [(a, b) for a, b in (within(text, *s) for s in spans) if a < b]
                     kept = b"".join(text[a:b] for a, b in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(text)], strict=True))
-                out.append({"row": row, "doc_id": doc_id, "n_bytes": len(text), "spans": [{"start": a, "end": b} for a, b in spans], "kept": kept})
-            yield batch_of(out, schema)
+                found.append([{"start": a, "end": b} for a, b in spans])
+                left.append(kept)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), batch.column("doc_id"), pa.array(list(map(len, texts)), pa.int64()), pa.array(found, spans_type), pa.array(left, pa.binary()), *(batch.column(c) for c in carried)],
+                names=["row", "doc_id", "n_bytes", "spans", "kept", *carried])
+
+
+def within(text: bytes, start: int, end: int) -> tuple[int, int]:
+    """The part of a span from the beginning of a UTF-8 character to the end of one."""
+    while start < end and text[start] & 0xC0 == 0x80:
+        start += 1
+    while end > start and end < len(text) and text[end] & 0xC0 == 0x80:
+        end -= 1
+    return start, end
 
 
 def hot_keys(staged: DataFrame, n_docs: int, length: int) -> np.ndarray:
@@ -441,8 +456,8 @@ def hot_keys(staged: DataFrame, n_docs: int, length: int) -> np.ndarray:
     return np.sort(np.array([r.key for r in often.orderBy(F.desc("n"), "key").limit(HOT_KEYS).collect()], np.int64).view(np.uint64))
 
 
-def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """(row, doc_id, n_bytes, spans, kept) for each document, and (row, doc_id, carried_<column>...) to join them with, both from the shared folder."""
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, carry: tuple[str, ...] = (), whole_characters: bool = False) -> DataFrame:
+    """row, doc_id, n_bytes, spans, kept, carried_<column>...: one row for each document."""
     spark = docs.sparkSession
     folder = stage_path(spark, "repeats")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -481,5 +496,16 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: find(b, length), blobs)
     earlier = spark.read.schema("blob binary, kind string, part long").parquet(f"{folder}/first").where("kind = 'covered'").select("kind", "part", "blob")
     write(found.unionByName(earlier), "second")
-    spans = staged.mapInArrow(lambda b: cut(b, f"{folder}/second/kind=covered"), "row long, doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
-    return spans, texts.drop("text")
+    carried = [f"carried_{c}" for c in carry]
+    extra = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in schema.fields if f.name in carried)
+    return texts.mapInArrow(lambda b: cut(b, f"{folder}/second/kind=covered", carried, whole_characters), f"row long, doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary{extra}")
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, n_chars_col: str = "n_chars") -> DataFrame:
+    """`docs` with the repeated strings cut from the texts, whole characters only; a column n_chars of numbers follows the text."""
+    others = tuple(c for c in docs.columns if c not in (id_col, text_col))
+    rows = cut_repeats(docs, id_col, text_col, length, others, whole_characters=True)
+    named = {id_col: F.nullif("doc_id", F.lit(NULL_ID)), text_col: F.col("kept").cast("string")} | {c: F.col(f"carried_{c}") for c in others}
+    if n_chars_col in others:
+        named[n_chars_col] = F.length(named[text_col]).cast(docs.schema[n_chars_col].dataType)
+    return rows.select(*(named[c].alias(c) for c in docs.columns))
