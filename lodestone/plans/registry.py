@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
+MODULES = ("text_queries", "split_queries", "candidate_queries", "lexical_queries", "dense_queries", "routing_queries", "ranking_queries", "eda_queries", "ml_queries")
 
 
 def query(name: str, sql: str | None = None):
@@ -22,9 +24,16 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _load() -> None:
+    for module in MODULES:
+        importlib.import_module(f"lodestone.plans.{module}")
+
+
 def queries() -> dict[str, Callable]:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(ORACLES)
