@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.operators.candidates import top_k
 
@@ -72,7 +73,7 @@ def token_ids(text: str, vocabulary: int) -> list[int]:
     return [int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big") % (vocabulary - 1) + 1 for w in words] or [0]
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def token_id_column(text: pd.Series, vocabulary: pd.Series) -> pd.Series:
     return pd.Series([token_ids(t or "", int(v)) for t, v in zip(text, vocabulary, strict=True)])
 

@@ -24,12 +24,12 @@ def prior(history: DataFrame, k: int | None = None) -> DataFrame:
     return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
-def posterior_probabilities(history: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
+def posterior_probabilities(history: DataFrame, queries: DataFrame, k: int | None = None, exact: bool = False) -> DataFrame:
     """query_id, category, probability, rank of seen queries."""
     c = counts(history)
     share = c.withColumn("probability", F.col("n") / F.sum("n").over(Window.partitionBy("query"))).withColumn("rank", row_rank(["query"], [F.desc("n"), F.asc("category")]))
-    out = queries.join(share if k is None else share.where(F.col("rank") <= k), "query").select("query_id", "category", rounded(F.col("probability")).alias("probability"), "rank")
-    return out
+    p = F.col("probability")
+    return queries.join(share if k is None else share.where(F.col("rank") <= k), "query").select("query_id", "category", (p if exact else rounded(p)).alias("probability"), "rank")
 
 
 def support(history: DataFrame, queries: DataFrame) -> DataFrame:
@@ -56,7 +56,7 @@ def hybrid(history: DataFrame, queries: DataFrame, classifier: DataFrame, k: int
     rest of the classifier. Else the classifier, and for queries that it lacks the prior.
     """
     known = support(history, queries)
-    exact = posterior_probabilities(history, queries).join(known, "query_id")
+    exact = posterior_probabilities(history, queries, exact=True).join(known, "query_id")
     sure = exact.where(F.col("support") >= min_count).select("query_id", "category", "probability")
     rest = known.where(F.col("support") < min_count)
     a = F.lit(alpha) if alpha is not None else F.col("support") / F.lit(float(min_count))
