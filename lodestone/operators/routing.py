@@ -53,7 +53,7 @@ def hybrid(history: DataFrame, queries: DataFrame, classifier: DataFrame, k: int
     """query_id, category, probability, rank. classifier: query_id, category, probability.
 
     Support of min_count or more: the exact posterior. Less, if blending: alpha (or support / min_count) of it and the
-    rest of the classifier. Else the classifier, and for queries that it lacks the prior.
+    rest of the classifier. Else the classifier, and for queries that it lacks, blending or not, the prior.
     """
     known = support(history, queries)
     exact = posterior_probabilities(history, queries, exact=True).join(known, "query_id")
@@ -62,7 +62,7 @@ def hybrid(history: DataFrame, queries: DataFrame, classifier: DataFrame, k: int
     a = F.lit(alpha) if alpha is not None else F.col("support") / F.lit(float(min_count))
     guessed = classifier.join(rest, "query_id")
     if blend:
-        mixed = exact.where((F.col("support") < min_count) & (F.col("support") > 0)).select("query_id", "category", (a * F.col("probability")).alias("probability"))
+        mixed = exact.where((F.col("support") < min_count) & (F.col("support") > 0)).join(classifier.select("query_id").distinct(), "query_id", "left_semi").select("query_id", "category", (a * F.col("probability")).alias("probability"))
         guessed = guessed.withColumn("probability", F.when(F.col("support") > 0, (1 - a) * F.col("probability")).otherwise(F.col("probability"))).select("query_id", "category", "probability")
         guessed = guessed.unionByName(mixed).groupBy("query_id", "category").agg(F.sum("probability").alias("probability"))
     else:

@@ -66,7 +66,7 @@ def hybrid_fallback(spark, d):
     return routing.hybrid(m.history(spark, d), asked(spark, d), classifier(spark, d), K, min_count=180)
 
 
-@query("hybrid_blend", _hybrid("SELECT query_id, category, CASE WHEN support > 0 THEN (1 - support / 180.0::DOUBLE) * probability ELSE probability END FROM cls JOIN sup USING (query_id) WHERE support < 180 UNION ALL SELECT query_id, category, support / 180.0::DOUBLE * probability FROM e WHERE support < 180", 180))
+@query("hybrid_blend", _hybrid("SELECT query_id, category, CASE WHEN support > 0 THEN (1 - support / 180.0::DOUBLE) * probability ELSE probability END FROM cls JOIN sup USING (query_id) WHERE support < 180 UNION ALL SELECT query_id, category, support / 180.0::DOUBLE * probability FROM e WHERE support < 180 AND query_id IN (SELECT query_id FROM cls)", 180))
 def hybrid_blend(spark, d):
     return routing.hybrid(m.history(spark, d), asked(spark, d), classifier(spark, d), K, min_count=180, blend=True)
 
