@@ -38,7 +38,7 @@ def load_ids(spark: SparkSession, path: str, column: str, length: int = 16) -> D
 
 def load_answers(spark: SparkSession, path: str) -> DataFrame:
     """A submission as text: query_id, answer; an empty answer is an empty text."""
-    return spark.read.option("header", True).option("emptyValue", "").option("nullValue", "\x00").schema("query_id string, answer string").csv(path)
+    return spark.read.option("header", True).option("emptyValue", "").schema("query_id string, answer string").csv(path).fillna("", ["answer"])
 
 
 @dataclass(frozen=True)
