@@ -12,9 +12,10 @@ share a key are candidates. They are compared in turns, and never all with all w
 1. each node of a key with the key's first node;
 2. in CHAINS turns, neighbours in a random order of the key's nodes, if they aren't in one group yet; large keys are
    split at random for that;
-3. all nodes of a key that are in different groups by now. Each pair is taken at one of the keys that it shares, and
-   goes on if its registers' estimate isn't far below the threshold. Keys with many groups are first split by a second
-   shared band.
+3. nodes of a key that are in different groups by now, where their registers' estimate isn't far below the threshold:
+   first each node with the few that look nearest, then, if they are apart even so, with all. The registers of a key's
+   nodes meet in one task and are compared there, so pairs that aren't likely never become rows. Large keys are first
+   split by a second shared band.
 
 Every pair that goes on is verified on the exact similarity of the shingles, so groups have no false link, and two texts
 at the threshold are missed with a chance of (1 - SIMILARITY ** ROWS) ** BANDS, about 2 in 100 000. Groups are connected
@@ -40,13 +41,15 @@ from lodestone.llm.part_files import filter_rows, write_rows
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 36, 6
 REGISTERS = BANDS * ROWS
-CHAINS, CHAIN_ROWS = 3, 4096
-#: Keys with more groups than this are split by a second band before all pairs are taken.
-MANY_GROUPS = 64
+CHAINS, CHAIN_ROWS = 2, 4096
+#: Keys of more nodes than this are split by a second band before their nodes are compared.
+LARGE = 1024
 #: Standard errors of the registers' estimate below the threshold at which a pair needs no verification.
-DOUBT = 5.0
-#: Members that one task compares with a node.
-MEMBERS = 4096
+DOUBT = 3.5
+#: Partners that look nearest, with which a node is compared before all.
+NEAREST = 6
+#: Texts to compare meet in tiles of about so many heads and blocks of so many members.
+HEADS, MEMBERS = 64, 512
 
 _U = np.uint64
 
@@ -171,14 +174,24 @@ def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarr
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float, partitions: int) -> DataFrame:
-    """a, b of `pairs` (distinct) whose texts are similar. texts: node, words. Each a's text meets its b's in blocks of MEMBERS."""
-    counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks"))
-    members = pairs.join(counts, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")).join(texts.withColumnRenamed("node", "b"), "b").select("a", "block", F.col("b").alias("b"), "words")
-    heads = counts.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).join(texts.withColumnRenamed("node", "a"), "a").select("a", "block", F.lit(None).cast("long").alias("b"), "words")
-    met = heads.unionByName(members).repartition(partitions, "a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
+    """a, b of `pairs` (distinct) whose texts are similar. texts: node, words.
+
+    About HEADS nodes a make a tile; a text b comes to a tile once, with the list of the tile's nodes that it is to be
+    compared with, and in blocks of about MEMBERS, to which the tile's heads are copied.
+    """
+    pairs = stage(pairs, "pairs")
+    heads = pairs.select("a").distinct()
+    tiles = max(1, -(-heads.count() // HEADS))
+    tile = F.pmod(F.xxhash64("a"), F.lit(tiles))
+    wanted = pairs.groupBy(tile.alias("tile"), "b").agg(F.collect_list("a").alias("heads"))
+    counts = wanted.groupBy("tile").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks"))
+    members = wanted.join(counts, "tile").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")).join(texts.withColumnRenamed("node", "b"), "b").select("tile", "block", "b", "heads", "words")
+    copied = heads.withColumn("tile", tile).join(counts, "tile").select("tile", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "a").join(texts.withColumnRenamed("node", "a"), "a")
+    met = copied.select("tile", "block", F.col("a").alias("b"), F.lit(None).cast("array<long>").alias("heads"), "words").unionByName(members).repartition(partitions, "tile", "block").sortWithinPartitions("tile", "block", F.col("heads").isNotNull(), "b")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head: tuple | None = None
+        known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        now = None
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
@@ -187,12 +200,14 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, partitions: i
                 doc, element, weight = shingles(lists.flatten().to_numpy(zero_copy_only=False), counts)
                 edges = np.searchsorted(doc, np.arange(len(counts) + 1))
                 out: list[tuple[int, int]] = []
-                for k, (a, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)):
+                for k, (t, block, b, asked) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("tile", "block", "b", "heads")), strict=True)):
                     own = element[edges[k] : edges[k + 1]], weight[edges[k] : edges[k + 1]]
-                    if b is None:
-                        head = own
-                    elif probability_jaccard(*head, *own) >= threshold - 1e-12:
-                        out.append((a, b))
+                    if (t, block) != now:
+                        now, known = (t, block), {}
+                    if asked is None:
+                        known[b] = own
+                    else:
+                        out += [(a, b) for a in asked if probability_jaccard(*known[a], *own) >= threshold - 1e-12]
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
 
     return met.mapInArrow(run, "a long, b long")
@@ -234,7 +249,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     # one node for each sequence of words, named by its first row; copies are counted before the shuffle
     nodes = stage(copies.groupBy("same").agg(F.min("row").alias("node"), F.min("doc_id").alias("low"), F.first("registers").alias("registers")), "nodes")
     signs = nodes.where(F.col("registers") != F.lit(EMPTY)).select("node", "registers")
-    keys = signs.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: band(F.col("registers"), k))).alias("key"))
+    keys = signs.select("node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: band(F.col("registers"), k))).alias("band", "key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
     met = stage(keys.join(shared, "key"), "candidates")
     folder = stage_path(spark, "candidate-rows")
@@ -252,17 +267,16 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
         near = now.withColumns({"a": F.lag("node").over(order), "other": F.lag("label").over(order)}).where("other <> label")
         pairs = near.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         labels = joined(labels, stage(verified(pairs, texts, threshold, partitions), "links"))
-    # 3. all that are still apart
-    now = mapped(met.select("key", "node", F.col("node").alias("label")), "label", labels)
-    apart = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.approx_count_distinct("label").alias("groups")).where("low <> high").select("key", "groups")
-    open_ = stage(now.join(apart, "key"), "apart")
-    marked = open_.join(signs, "node")
-    split = marked.where(F.col("groups") > MANY_GROUPS).select("node", "label", "registers", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64("key", band(F.col("registers"), k)))).alias("key"))
-    whole = marked.where(F.col("groups") <= MANY_GROUPS).select("node", "label", "registers", "key")
-    some = stage(whole.unionByName(split), "apart")
-    left, right = (some.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "label", "registers"))) for side in "ab")
-    crossed = left.join(right, "key").where("label_a <> label_b and node_a < node_b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), F.col("registers_a").alias("x"), F.col("registers_b").alias("y"))
-    labels = joined(labels, stage(verified(likely(crossed, threshold).distinct(), texts, threshold, partitions), "links"))
+    # 3. the registers of those that are still apart
+    for nearest in (NEAREST, None):
+        now = mapped(met.select("key", "band", "n", "node", F.col("node").alias("label")), "label", labels)
+        apart = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+        marked = now.join(apart, "key").join(signs, "node").select("key", "band", F.lit(-1).alias("second"), "n", "node", "label", "registers")
+        others = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
+        split = marked.where(F.col("n") > LARGE).withColumn("second", others).where("second <> band").withColumn("key", F.xxhash64("key", band(F.col("registers"), F.col("second"))))
+        some = marked.where(F.col("n") <= LARGE).unionByName(split).drop("n").repartition(partitions, "key").sortWithinPartitions("key", "label", "node")
+        pairs = some.mapInArrow(lambda b, m=nearest: likely(b, threshold, m), "a long, b long").distinct()
+        labels = joined(labels, stage(verified(pairs, texts, threshold, partitions), "links"))
 
     named = mapped(nodes.select("same", "node", "low", F.col("node").alias("label")), "label", labels)
     named = stage(named, "named")
@@ -273,16 +287,56 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     return out.join(first.select("row", F.lit(True).alias("kept")), "row", "left").select("row", "doc_id", "class_id", F.coalesce("kept", F.lit(False)).alias("kept")), rows
 
 
-def likely(pairs: DataFrame, threshold: float) -> DataFrame:
-    """a, b of pairs with registers x, y whose estimate isn't DOUBT standard errors below the threshold."""
-    least = threshold - DOUBT * (threshold * (1 - threshold) / REGISTERS) ** 0.5
+def likely(batches: Iterable[pa.RecordBatch], threshold: float, nearest: int | None) -> Iterator[pa.RecordBatch]:
+    """a, b of nodes that share a key, a outside the key's largest group, have different labels, and whose estimate isn't DOUBT standard errors below the threshold.
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(batch.num_rows, REGISTERS) for c in "xy")
-            yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(1) >= least))
+    A pair comes from one key only, that of the first band (and, where keys are split, the first two bands) that it
+    shares. Rows come sorted by key and label. nearest: at most so many partners of each node, those of the highest estimates.
+    """
+    least = threshold - DOUBT * (threshold * (1 - threshold) / REGISTERS) ** 0.5
 
-    return pairs.mapInArrow(run, "a long, b long")
+    def compare(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        node, label = (np.concatenate([r.column(c).to_numpy() for r in rows]) for c in ("node", "label"))
+        out: list[np.ndarray] = []
+        if label[0] != label[-1]:
+            registers = np.frombuffer(b"".join(x for r in rows for x in r.column("registers").to_pylist()), "<u2").reshape(len(node), REGISTERS)
+            values, counts = np.unique(label, return_counts=True)
+            few = np.flatnonzero(label != values[counts.argmax()])  # each pair has one node outside the largest group
+            step = max(1, (1 << 24) // (len(node) * REGISTERS))
+            for at in range(0, len(few), step):
+                mine = few[at : at + step]
+                near = (registers[mine][:, None, :] == registers[None, :, :]).mean(2)
+                near[label[mine][:, None] == label[None, :]] = 0
+                if nearest and len(node) > nearest:
+                    near[near < np.partition(near, -nearest, 1)[:, -nearest][:, None]] = 0
+                i, j = np.nonzero(near >= least)
+                shared = (registers[mine[i]].reshape(-1, BANDS, ROWS) == registers[j].reshape(-1, BANDS, ROWS)).all(2)
+                first = shared.argmax(1)
+                here = first == int(rows[0].column("band")[0].as_py())
+                if (second := int(rows[0].column("second")[0].as_py())) >= 0:
+                    low, high = sorted((int(rows[0].column("band")[0].as_py()), second))
+                    here = first == low
+                    shared[np.arange(len(first)), first] = False
+                    here &= shared.argmax(1) == high
+                i, j = i[here], j[here]
+                out.append(np.stack([node[mine[i]], node[j]]))
+        found = np.unique(np.concatenate(out, 1), axis=1) if out else np.zeros((2, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], names=["a", "b"])
+
+    now, held = None, []
+    for batch in batches:
+        key = batch.column("key").to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if a == b:
+                continue
+            if held and key[a] != now:
+                yield compare(held)
+                held = []
+            now = key[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield compare(held)
 
 
 #: The registers of a text without words.
