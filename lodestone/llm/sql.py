@@ -53,3 +53,15 @@ SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN coalesce(n_strict,
   coalesce(n_strict, 0) AS n_strict, coalesce(n_soft, 0) AS n_soft
 FROM p LEFT JOIN fit ON fit.k = p.k LEFT JOIN found ON found.k = p.k
 """
+
+ORACLES["op10_repeats"] = """
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT k, doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT k, doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS p FROM d)),
+f AS (SELECT k, p, doc_id > min(doc_id) OVER (PARTITION BY s) AS gone FROM w),
+g AS (SELECT k, p, p - coalesce(lag(p) OVER (PARTITION BY k ORDER BY p), -1000) > 50 AS new FROM f WHERE gone),
+r AS (SELECT k, p, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY p) AS span FROM g),
+spans AS (SELECT k, span, min(p) AS a, max(p) + 50 AS b FROM r GROUP BY k, span),
+cuts AS (SELECT k, a, b, lag(b, 1, 0) OVER (PARTITION BY k ORDER BY a) AS before FROM spans),
+kept AS (SELECT d.k, string_agg(substr(h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY a) AS head, max(b) AS last, count(*) AS n, CAST(sum(b - a) AS BIGINT) AS gone FROM d JOIN cuts USING (k) GROUP BY d.k)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(coalesce(head, '') || substr(h, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256 FROM d LEFT JOIN kept USING (k)
+"""

@@ -200,3 +200,15 @@ def test_queries_have_their_columns(spark):
     d = "/root/testdata/sf0.001"
     assert queries.op10_repeats(spark, d).columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     assert queries.op3_near_dedup(spark, d).columns == ["doc_id", "class_id", "kept"]
+
+
+def test_repeats_sql(spark):
+    import duckdb
+
+    from lodestone.llm import sql
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    out = queries.op10_repeats(spark, "/root/testdata/sf0.001")
+    theirs = con.sql(sql.ORACLES["op10_repeats"]).select(", ".join(out.columns)).fetchall()
+    assert sorted(map(tuple, out.collect())) == sorted(theirs)
