@@ -206,12 +206,13 @@ def by_bucket(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[dic
     """The rows of one bucket after another; rows come sorted by bucket."""
     now, held = None, []
     for batch in batches:
-        for row in batch.to_pylist():
-            if row["bucket"] != now and held:
-                yield now, held
-                held = []
-            now = row["bucket"]
-            held.append(row)
+        for at in range(0, batch.num_rows, 32):
+            for row in batch.slice(at, 32).to_pylist():
+                if row["bucket"] != now and held:
+                    yield now, held
+                    held = []
+                now = row["bucket"]
+                held.append(row)
     if held:
         yield now, held
 
@@ -220,22 +221,30 @@ def meet(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
     """Entries of a bucket: what is covered, and what is asked, in blobs for each part."""
     schema = pa.schema([("kind", pa.string()), ("part", pa.int64()), ("blob", pa.binary())])
     for _, blobs in by_bucket(batches):
-        columns: list[list[np.ndarray]] = [[] for _ in range(6)]
-        for r in blobs:
-            rows, ids = Planes.unpack(r["rows"], 8, 8)
-            key, context, text, place, count = Planes.unpack(r["blob"], *ENTRY)
-            for c, x in zip(columns, (key, context, ids[text.astype(np.int64)].view(np.int64), rows[text.astype(np.int64)].view(np.int64), place.view(np.int64), count.view(np.int64)), strict=True):
-                c.append(x)
-        key, context, ids, rows, place, count = (np.concatenate(c) for c in columns)
-        columns = []
+        # keys that stand alone go before anything else is unpacked
+        keys = [Planes.unpack(r["blob"], ENTRY[0])[0] for r in blobs]
+        key = np.concatenate(keys)
         order = np.argsort(key, kind="stable")
-        many = key[order]
-        again = np.append(False, many[1:] == many[:-1])
-        again[:-1] |= again[1:]
-        order = order[again]  # keys that stand alone go
-        if not len(order):
+        again = np.zeros(len(key), bool)
+        same = key[order][1:] == key[order][:-1]
+        again[order[1:][same]] = again[order[:-1][same]] = True
+        del key, order, same
+        columns: list[list[np.ndarray]] = [[] for _ in range(6)]
+        at = 0
+        for r, own in zip(blobs, keys, strict=True):
+            some = np.flatnonzero(again[at : at + len(own)])
+            at += len(own)
+            if len(some):
+                rows, ids = Planes.unpack(r["rows"], 8, 8)
+                _, context, text, place, count = (x[some] for x in Planes.unpack(r["blob"], *ENTRY))
+                for c, x in zip(columns, (own[some], context, ids[text.astype(np.int64)].view(np.int64), rows[text.astype(np.int64)].view(np.int64), place.view(np.int64), count.view(np.int64)), strict=True):
+                    c.append(x)
+            r.clear()
+        del keys, again
+        if not columns[0]:
             continue
-        key, context, ids, rows, place, count = (x[order] for x in (key, context, ids, rows, place, count))
+        key, context, ids, rows, place, count = (np.concatenate(c) for c in columns)
+        del columns
         order = np.lexsort((ids, context, key))
         key, context, ids, rows, place, count = (x[order] for x in (key, context, ids, rows, place, count))
         new_key = np.append(True, key[1:] != key[:-1])
@@ -460,7 +469,8 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """row, doc_id, n_bytes, spans, kept, carried_<column>...: one row for each document."""
     spark = docs.sparkSession
     folder = stage_path(spark, "repeats")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 2 * partitions  # tasks go through theirs one after another
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), *(F.col(c).alias(f"carried_{c}") for c in carry))
     schema = rows.schema
     rows.write.option("compression", "zstd").parquet(f"{folder}/texts")
@@ -471,7 +481,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kinds = "bucket int, part long, rows binary, blob binary"
     met = staged.mapInArrow(lambda b: entries(b, buckets, hot, length), kinds)
     # what is covered within a slice has no bucket and passes through, by its part
-    routed = met.withColumn("to", F.coalesce(F.col("bucket"), F.pmod(F.col("part"), F.lit(buckets)).cast("int"))).repartition(buckets, "to").sortWithinPartitions(F.col("bucket").asc_nulls_first()).select("bucket", "part", "rows", "blob")
+    routed = met.withColumn("to", F.coalesce(F.col("bucket"), F.pmod(F.col("part"), F.lit(buckets)).cast("int"))).repartition(partitions, "to").sortWithinPartitions(F.col("bucket").asc_nulls_first()).select("bucket", "part", "rows", "blob")
 
     def first_meeting(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def ahead() -> Iterator[pa.RecordBatch]:
@@ -489,11 +499,11 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     blobs = "kind string, part long, blob binary"
 
     def write(df: DataFrame, name: str) -> None:
-        df.repartition(buckets, "part").write.partitionBy("kind", "part").parquet(f"{folder}/{name}")
+        df.repartition(partitions, "part").write.partitionBy("kind", "part").parquet(f"{folder}/{name}")
 
     write(routed.mapInArrow(first_meeting, blobs), "first")
     asked = staged.mapInArrow(lambda b: contexts(b, f"{folder}/first/kind=asked", buckets, length), "bucket int, info binary, blob binary")
-    found = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: find(b, length), blobs)
+    found = asked.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: find(b, length), blobs)
     earlier = spark.read.schema("blob binary, kind string, part long").parquet(f"{folder}/first").where("kind = 'covered'").select("kind", "part", "blob")
     write(found.unionByName(earlier), "second")
     carried = [f"carried_{c}" for c in carry]
