@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import stage, stage_path
+from lodestone.llm.common import drop_staged, stage, staged_folder, staged_so_far
 from lodestone.llm.part_files import filter_rows, write_rows
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -112,7 +112,7 @@ def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_docs:
         live = np.flatnonzero(step[doc] == n)
         before, index = np.zeros(len(live)), 0
         while len(live):
-            chunk = max(1, (1 << 21) // n)
+            chunk = max(1, (1 << 19) // n)
             ends = np.empty(len(live))
             for a in range(0, len(live), chunk):
                 part = live[a : a + chunk]
@@ -241,6 +241,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     """(row, doc_id, class_id, kept) for every row, and the staged rows themselves: row, doc_id, text, the carried columns."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    before = staged_so_far()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"carried_{c}") for c in carry))
     rows = stage(rows, "documents")
     words = split_words(F.col("text"))
@@ -252,7 +253,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     keys = signs.select("node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: band(F.col("registers"), k))).alias("band", "key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
     met = stage(keys.join(shared, "key"), "candidates")
-    folder = stage_path(spark, "candidate-rows")
+    folder = staged_folder(spark, "candidate-rows")
     write_rows(met.select(F.col("node").alias("row")).distinct(), folder, partitions)
     texts = filter_rows(rows.select("row", "text"), folder, keep=True).select(F.col("row").alias("node"), F.transform(words, lambda w: F.xxhash64(w)).alias("words"))
     texts = stage(texts, "candidate-texts")
@@ -283,6 +284,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     classes = named.groupBy("label").agg(F.min("low").alias("class_id"))
     of_text = named.join(classes, "label").select("same", "label", "class_id")
     out = stage(copies.select("row", "doc_id", "same").join(of_text, "same").select("row", "doc_id", "label", "class_id"), "classed")
+    drop_staged(spark, before, keep=(rows, out))
     first = out.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("label").agg(F.min("row").alias("row"))
     return out.join(first.select("row", F.lit(True).alias("kept")), "row", "left").select("row", "doc_id", "class_id", F.coalesce("kept", F.lit(False)).alias("kept")), rows
 
@@ -347,7 +349,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     """`docs` without all but one of each class; no text is shuffled."""
     others = tuple(c for c in docs.columns if c not in (id_col, text_col))
     classed, rows = groups(docs, id_col, text_col, threshold, others)
-    folder = stage_path(docs.sparkSession, "dropped-rows")
+    folder = staged_folder(docs.sparkSession, "dropped-rows")
     write_rows(classed.where(~F.col("kept")).select("row"), folder, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     kept = filter_rows(rows, folder, keep=False)
     named = {id_col: F.col("doc_id"), text_col: F.col("text")} | {c: F.col(f"carried_{c}") for c in others}

@@ -162,6 +162,13 @@ def score(text: str, weights: np.ndarray, shapes: Shapes) -> float:
     return float(1 / (1 + np.exp(-np.clip(weights[slot] @ value + weights[-1], -30, 30))))
 
 
+def small(batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Slices of batches, so that few texts are Python strings at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 @dataclass
 class QualityModel:
     labels: WeakLabelModel
@@ -176,7 +183,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trainin
     def label(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes = Shapes()
         counts: dict[int, int] = {}
-        for batch in batches:
+        for batch in small(batches):
             pattern, slots, values = [], [], []
             for text, sampled in zip(batch.column("text").to_pylist(), batch.column("sampled").to_pylist(), strict=True):
                 p = votes(text)
@@ -208,7 +215,7 @@ def apply(docs: DataFrame, model: QualityModel, text_col: str = "text", threshol
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes = Shapes()
-        for batch in batches:
+        for batch in small(batches):
             p = [score(text or "", weights, shapes) for text in batch.column(len(names)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(p, pa.float64()), pa.array([x >= threshold for x in p], pa.bool_())], names=[*names, score_col, keep_col])
 
