@@ -31,13 +31,40 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders staged by this process and not yet dropped.
+_STAGED: list[str] = []
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: lineage ends here and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = stage_path(spark, name)
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    _STAGED.append(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def staged_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, that drop_staged takes away like those of stage()."""
+    _STAGED.append(stage_path(spark, name))
+    return _STAGED[-1]
+
+
+def drop_staged(spark: SparkSession, since: int = 0, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Delete what was staged after the first `since` folders, but for the frames kept; nothing may still read the rest."""
+    kept = {df._staged for df in keep}
+    gone = [p for p in _STAGED[since:] if p not in kept]
+    _STAGED[since:] = [p for p in _STAGED[since:] if p in kept]
+    for p in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def staged_so_far() -> int:
+    return len(_STAGED)
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import hash_share, stage_path
+from lodestone.llm.common import hash_share, staged_folder
 from lodestone.llm.part_files import IN_PART, PartFiles, Planes
 
 LENGTH, GRAM = 50, 24
@@ -468,7 +468,7 @@ def hot_keys(staged: DataFrame, n_docs: int, length: int) -> np.ndarray:
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, carry: tuple[str, ...] = (), whole_characters: bool = False) -> DataFrame:
     """row, doc_id, n_bytes, spans, kept, carried_<column>...: one row for each document."""
     spark = docs.sparkSession
-    folder = stage_path(spark, "repeats")
+    folder = staged_folder(spark, "repeats")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 2 * partitions  # tasks go through theirs one after another
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), *(F.col(c).alias(f"carried_{c}") for c in carry))

@@ -5,7 +5,7 @@ import pytest
 import corpus_pipeline
 from helpers import rows
 from lodestone.llm import ann, queries, sql, url_filter
-from lodestone.llm.common import stage
+from lodestone.llm.common import stage_path
 
 
 def brute(data, k, asked):
@@ -101,7 +101,9 @@ def test_pipeline(spark):
     good = {r.doc_id for r in spark.read.parquet(f"{d}/labels.parquet").where("quality = 1").collect()}
     before = docs
     for number, (_, step) in enumerate(corpus_pipeline.STAGES[:-1]):
-        after = stage(step(spark, before, d), "test-stage")
+        path = stage_path(spark, "test-stage")
+        step(spark, before, d).write.parquet(path)
+        after = spark.read.parquet(path)
         assert after.columns == docs.columns
         was, now = ({r.doc_id: r.text for r in x.select("doc_id", "text").collect()} for x in (before, after))
         assert set(now) <= set(was)
