@@ -1,7 +1,8 @@
 """The training-data pipeline: documents in, packed sequences out.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-one's docs. All but the last return the columns of documents.
+one's docs. All but the last return the columns of documents. As a stage's result is written before the next one is
+called, what the stages before had staged is deleted then.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import near_dedup, packing, quality_classifier, quality_rules, repeats
-from lodestone.llm.common import stage
+from lodestone.llm.common import drop_staged, stage_path
 from lodestone.llm.tokens import fixed_path
 
 #: SQL has no form of the trained scorer, of hashing or of packing; tests hold the stages against brute force.
@@ -19,27 +20,32 @@ ORACLE_SQL = None
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the scorer finds bad go."""
+    drop_staged(spark)
     scored = quality_classifier.apply(docs, quality_classifier.fit(docs), score_col="__quality_score", keep_col="__quality_kept")
     return scored.where("__quality_kept").drop("__quality_score", "__quality_kept")
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or a cutoff of their language go."""
+    drop_staged(spark)
     return quality_rules.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, that of the smallest id."""
+    drop_staged(spark)
     return near_dedup.keep_one(docs)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings that an earlier document has too are cut from the texts."""
+    drop_staged(spark)
     return repeats.without_repeats(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of equal length."""
+    drop_staged(spark)
     pieces = packing.pack_documents(docs, fixed_path("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
@@ -58,5 +64,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for number, (_, step) in enumerate(STAGES):
         docs = step(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
-            docs = stage(docs, f"stage-{number}")
+            path = stage_path(spark, f"stage-{number}")
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
     return docs
