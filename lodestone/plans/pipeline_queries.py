@@ -16,8 +16,7 @@ def champion_answer(spark, d):
     items = m.items(spark, d).withColumn("description", F.col("text"))
     queries = m.queries(spark, d).select("query_id", F.col("title").alias("search_query"), "params", "category", "location")
     vectors = dense.encode(items, "item_id", "title", dense.length_sum_encoder, 2), dense.encode(queries, "query_id", "search_query", dense.length_sum_encoder, 2)
-    depths = champion.Depths(routes=5, routed=100, everywhere=30, fused=100, answer=50)
-    return champion.champion(m.train(spark, d), queries, items, depths, vectors, classifier=False)
+    return champion.champion(m.train(spark, d), queries, items, vectors=vectors)
 
 
 @query("selected_answer")
