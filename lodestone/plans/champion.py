@@ -34,7 +34,7 @@ def routes_for(train: DataFrame, queries: DataFrame, k: int, classifier: bool =
         return routing.posterior_top_k(history, asked, k).select("query_id", F.col("category").alias("route"))
     known = routing.support(history, asked)
     new = asked.join(known.where(~F.col("is_seen")), "query_id", "left_semi").select("query_id", F.col("query").alias("text"))
-    guessed = routing.classifier_routes(history.where("query is not null and category is not null").select(F.col("query").alias("text"), "category"), new, k, features=1 << 12, iterations=8)
+    guessed = routing.classifier_routes(history.where("query is not null and category is not null").select(F.col("query").alias("text"), "category"), new, k)
     return routing.hybrid(history, asked, guessed, k, min_count=1).select("query_id", F.col("category").alias("route"))
 
 

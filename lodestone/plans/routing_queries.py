@@ -102,4 +102,4 @@ def routing_metrics(spark, d):
 @query("router_classifier_topk")
 def router_classifier_topk(spark, d):
     h = m.history(spark, d).select(F.col("query").alias("text"), "category")
-    return routing.classifier_routes(h, asked(spark, d).select("query_id", F.col("query").alias("text")), K, features=1 << 10, iterations=5)
+    return routing.classifier_routes(h, asked(spark, d).select("query_id", F.col("query").alias("text")), K)

@@ -1,6 +1,7 @@
 import inspect
 
 import __spark_entry__
+from lodestone.operators import routing
 from lodestone.plans import champion
 
 SF = "/root/testdata/sf0.001"
@@ -12,3 +13,18 @@ def test_champion_answer_runs_at_full_depth(spark, monkeypatch):
     out = __spark_entry__.queries()["champion_answer"](spark, SF)
     assert (called.get("d") or champion.Depths()) == champion.Depths() and called.get("classifier", True)
     assert {r["count"] for r in out.groupBy("query_id").count().collect()} == {champion.Depths().answer}
+
+
+def test_router_classifier_reads_parts_of_words(spark):
+    train = spark.createDataFrame([("telephone", "z")] * 3 + [("bicycle", "a")] * 3, "text string, category string")
+    out = routing.classifier_routes(train, spark.createDataFrame([("q", "telephones"), ("e", "")], "query_id string, text string"), 2)
+    assert out.where("query_id = 'q' and rank = 1").first().category == "z" and out.where("query_id = 'e'").count() == 2
+
+
+def test_router_classifier_runs_at_its_defaults(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(routing, "classifier_routes", lambda train, queries, k, **more: given.append(more) or queries)
+    __spark_entry__.queries()["router_classifier_topk"](spark, SF)
+    monkeypatch.setattr(routing, "hybrid", lambda history, queries, *a, **b: spark.createDataFrame([("q", "c")], "query_id string, category string"))
+    champion.routes_for(spark.createDataFrame([("a", 1)], "search_query string, microcat int"), spark.createDataFrame([("q", "b")], "query_id string, search_query string"), 2)
+    assert given == [{}, {}]
