@@ -118,8 +118,29 @@ def contrastive_loss(query: np.ndarray, item: np.ndarray, mask: np.ndarray | Non
     return float((top[:, 0] + np.log(np.exp(logits - top).sum(1)) - np.diag(logits)).mean())
 
 
+def _forward(model: TwoTower, texts: Sequence[str], side: str) -> tuple:
+    means = model.means(texts)
+    raw = np.tanh(means @ model.weights[side])
+    norm = np.maximum(np.linalg.norm(raw, axis=1, keepdims=True), 1e-12)
+    return raw / norm, (texts, side, means, raw, norm)
+
+
+def _step(model: TwoTower, rate: float, *parts: tuple[np.ndarray, tuple, np.ndarray]) -> None:
+    """One gradient step on the maps and the token vectors. parts: unit vectors, what _forward kept of them, the loss by them."""
+    tokens, maps = [], []
+    for unit, (texts, side, means, raw, norm), d in parts:
+        d = (d - unit * (d * unit).sum(1, keepdims=True)) / norm * (1 - raw * raw)
+        maps.append((side, means.T @ d))
+        for text, g in zip(texts, d @ model.weights[side].T, strict=True):
+            ids = token_ids(text, model.vocabulary)
+            tokens += [(i, g / len(ids)) for i in ids]
+    for side, g in maps:
+        model.weights[side] -= rate * g
+    np.subtract.at(model.weights["tokens"], [i for i, _ in tokens], rate * np.array([g for _, g in tokens]))
+
+
 def train_two_tower(model: TwoTower, pairs: Sequence[tuple[str, str]], epochs: int = 5, batch: int = 64, rate: float = 0.5, temperature: float = 0.07, seed: int = 42) -> list[float]:
-    """Gradient steps on both maps by the contrastive loss, on a bounded list of (query text, item text); the losses."""
+    """Gradient steps on both maps and the token vectors by the contrastive loss, on a bounded list of (query text, item text); the losses."""
     losses = []
     known = set(pairs)
     for epoch in range(epochs):
@@ -129,20 +150,42 @@ def train_two_tower(model: TwoTower, pairs: Sequence[tuple[str, str]], epochs: i
             if len(part) < 2:
                 continue
             sides = [self_texts for self_texts in zip(*part, strict=True)]
-            means = [model.means(t) for t in sides]
-            raw = [np.tanh(m @ model.weights[s]) for m, s in zip(means, ("query", "item"), strict=True)]
-            norm = [np.maximum(np.linalg.norm(r, axis=1, keepdims=True), 1e-12) for r in raw]
-            q, i = (r / n for r, n in zip(raw, norm, strict=True))
+            (q, of_q), (i, of_i) = (_forward(model, t, s) for t, s in zip(sides, ("query", "item"), strict=True))
             mask = positive_mask(sides[0], sides[1], known)
             logits = np.where(mask & ~np.eye(len(part), dtype=bool), -np.inf, q @ i.T / temperature)
             p = np.exp(logits - logits.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             g = (p - np.eye(len(part))) / (len(part) * temperature)
-            for own, other, grad, m, r, n, side in ((q, i, g, means[0], raw[0], norm[0], "query"), (i, q, g.T, means[1], raw[1], norm[1], "item")):
-                d = grad @ other
-                d = (d - own * (d * own).sum(1, keepdims=True)) / n * (1 - r * r)
-                model.weights[side] -= rate * m.T @ d
             losses.append(contrastive_loss(q, i, mask, temperature))
+            _step(model, rate, (q, of_q, g @ i), (i, of_i, g.T @ q))
+    return losses
+
+
+def train_two_tower_with_hard_negatives(model: TwoTower, rows: Sequence[tuple[str, str, Sequence[str]]], epochs: int = 1, batch: int = 32, rate: float = 0.5, temperature: float = 0.07, seed: int = 42) -> list[float]:
+    """Gradient steps by the softmax of each row's positive among its own negatives; the losses. rows: query text, item text, texts of negatives."""
+    if any(not r[2] for r in rows):
+        raise ValueError("each row needs a negative")
+    if {(q, n) for q, _, negatives in rows for n in negatives} & {(q, i) for q, i, _ in rows}:
+        raise ValueError("a known positive is a negative")
+    losses = []
+    for epoch in range(epochs):
+        order = np.random.default_rng(seed + epoch).permutation(len(rows))
+        for at in range(0, len(order), batch):
+            part = [rows[i] for i in order[at : at + batch]]
+            owner = np.concatenate([np.arange(len(part)), np.repeat(np.arange(len(part)), [len(r[2]) for r in part])])
+            (q, of_q), (i, of_i) = _forward(model, [r[0] for r in part], "query"), _forward(model, [r[1] for r in part] + [n for r in part for n in r[2]], "item")
+            logits = (q[owner] * i).sum(1) / temperature
+            top = np.full(len(part), -np.inf)
+            np.maximum.at(top, owner, logits)
+            e = np.exp(logits - top[owner])
+            total = np.bincount(owner, e)
+            losses.append(float((np.log(total) + top - logits[: len(part)]).mean()))
+            g = e / total[owner]
+            g[: len(part)] -= 1
+            g /= len(part) * temperature
+            by_query = np.zeros_like(q)
+            np.add.at(by_query, owner, g[:, None] * i)
+            _step(model, rate, (q, of_q, by_query), (i, of_i, g[:, None] * q[owner]))
     return losses
 
 

@@ -54,11 +54,25 @@ def stratified_sample(spark, d):
     return splits.stratified_sample(q, ["search_category", "is_long"], 20)
 
 
+#: Distinct pairs that the towers train on at most, first in the order of a hash.
+PAIRS = 50_000
+
+
+def trained_tower(spark, d, epochs=50):
+    """Towers of the reference's size, trained on the distinct (query text, item title) pairs of the interactions."""
+    titles = m.items(spark, d).select("item_id", "title")
+    pairs = m.train(spark, d).join(titles, "item_id").select("search_query", "title").distinct()
+    pairs = pairs.orderBy(F.xxhash64("search_query", "title"), "search_query", "title").limit(PAIRS)
+    model = ml.TwoTower(vocabulary=65537, width=32, dimension=32)
+    ml.train_two_tower(model, [tuple(r) for r in pairs.collect()], epochs)
+    return model
+
+
 @query("two_tower_topk")
 def two_tower_topk(spark, d):
     from lodestone.operators import dense
 
-    model = ml.TwoTower(vocabulary=512, width=16, dimension=16)
-    i = dense.encode(m.items(spark, d), "item_id", "title", model.encoder("item"), 16)
-    q = dense.encode(m.queries(spark, d), "query_id", "title", model.encoder("query"), 16)
+    model = trained_tower(spark, d)
+    i = dense.encode(m.items(spark, d), "item_id", "title", model.encoder("item"), model.dimension)
+    q = dense.encode(m.queries(spark, d), "query_id", "title", model.encoder("query"), model.dimension)
     return dense.exact_top_k(i, q, 5)

@@ -1,8 +1,12 @@
 import inspect
 
+import numpy as np
+import pytest
+
 import __spark_entry__
-from lodestone.operators import routing
+from lodestone.operators import ml, routing
 from lodestone.plans import champion
+from lodestone.plans import mapping as m
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,3 +32,39 @@ def test_router_classifier_runs_at_its_defaults(spark, monkeypatch):
     monkeypatch.setattr(routing, "hybrid", lambda history, queries, *a, **b: spark.createDataFrame([("q", "c")], "query_id string, category string"))
     champion.routes_for(spark.createDataFrame([("a", 1)], "search_query string, microcat int"), spark.createDataFrame([("q", "b")], "query_id string, search_query string"), 2)
     assert given == [{}, {}]
+
+
+def test_towers_train_token_vectors_and_on_hard_negatives():
+    model = ml.TwoTower(vocabulary=512, width=16, dimension=16)
+    before = model.weights["tokens"].copy()
+    ml.train_two_tower(model, [(f"word{i}", f"word{i} thing") for i in range(30)], epochs=3, batch=30)
+    assert not np.allclose(before, model.weights["tokens"])
+    losses = ml.train_two_tower_with_hard_negatives(model, [(f"word{i}", f"word{i} thing", [f"word{j} thing" for j in range(i)]) for i in range(1, 9)], epochs=30, batch=8)
+    assert losses[-1] < losses[0]
+
+
+@pytest.mark.parametrize("hard", [False, True])
+def test_steps_follow_the_gradient(hard):
+    rows = [("a b", "c d", ["e f", "g"]), ("b", "h a", ["c d"])]
+    train = lambda model, rate: (ml.train_two_tower_with_hard_negatives(model, rows, rate=rate, temperature=0.5) if hard else ml.train_two_tower(model, [r[:2] for r in rows], epochs=1, rate=rate, temperature=0.5))[0]
+    for name in ("tokens", "query", "item"):
+        model = ml.TwoTower(vocabulary=20, width=3, dimension=3)
+        start = model.weights[name].copy()
+        train(model, 1.0)
+        gradient, numeric = start - model.weights[name], np.zeros_like(start)
+        for at in np.ndindex(start.shape):
+            ends = []
+            for h in (1e-6, -1e-6):
+                model = ml.TwoTower(vocabulary=20, width=3, dimension=3)
+                model.weights[name][at] += h
+                ends.append(train(model, 0.0))
+            numeric[at] = (ends[0] - ends[1]) / 2e-6
+        assert np.allclose(gradient, numeric, atol=1e-5)
+
+
+def test_two_tower_topk_is_trained(spark):
+    titles = {r.item_id: r.title for r in m.items(spark, SF).collect()}
+    asked = {r.query_id: r.title for r in m.queries(spark, SF).collect()}
+    out = __spark_entry__.queries()["two_tower_topk"](spark, SF).where("rank = 1").collect()
+    bought = [r for r in out if asked[r.query_id] in titles.values()]
+    assert sum(titles[r.item_id] == asked[r.query_id] for r in bought) > 0.9 * len(bought)
