@@ -79,14 +79,18 @@ def champion(train: DataFrame, queries: DataFrame, items: DataFrame, d: Depths |
     return ranking.fill_exactly(ranked.select("query_id", "item_id", "rank"), queries, items, d.answer)
 
 
-def selected(candidates: DataFrame, truth: DataFrame, sources: tuple[str, ...], depth: int = 500, limit: int = 50) -> DataFrame:
-    """The learned pipeline: features over the union of all lists, a selector tuned on a fifth of the queries, its ranking of the rest."""
+def selected(candidates: DataFrame, truth: DataFrame, sources: tuple[str, ...], depth: int = 500, limit: int = 50, folds: int = 5) -> DataFrame:
+    """The learned pipeline: features over the union of all lists, and for each fold of the queries the ranking of a selector tuned on the others."""
     from lodestone.functions.ids import hash_bucket
 
     table = fusion.labelled(fusion.filled_features(fusion.pair_features(candidates.where(F.col("rank") <= depth), sources), sources, depth), truth)
-    marked = table.withColumn("part", hash_bucket(F.concat(F.lit("selector:"), "query_id"), 5))
-    model = ml.train_selector(marked.where("part = 0").drop("part"), ml.feature_columns(table), trees=5, depth=3)
-    return ml.rank_with_selector(model, marked.where("part > 0").drop("part"), limit)
+    marked = table.withColumn("part", hash_bucket(F.concat(F.lit("selector:"), "query_id"), folds))
+    names, out = ml.feature_columns(table), None
+    for n in range(folds):
+        model = ml.train_selector(marked.where(F.col("part") != n).drop("part"), names)
+        one = ml.rank_with_selector(model, marked.where(F.col("part") == n).drop("part"), limit)
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def ranker_features(placed: DataFrame, texts: DataFrame) -> DataFrame:

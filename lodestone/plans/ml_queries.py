@@ -18,7 +18,7 @@ def _table(spark, d):
 @query("selector_gbt_topk")
 def selector_gbt_topk(spark, d):
     t = _table(spark, d)
-    model = ml.train_selector(t, trees=5, depth=3)
+    model = ml.train_selector(t)
     return ml.rank_with_selector(model, t, 20).select("query_id", "item_id", "final_score", "rank")
 
 

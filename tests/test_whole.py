@@ -2,6 +2,7 @@ import inspect
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from lodestone.operators import ml, routing
@@ -68,3 +69,21 @@ def test_two_tower_topk_is_trained(spark):
     out = __spark_entry__.queries()["two_tower_topk"](spark, SF).where("rank = 1").collect()
     bought = [r for r in out if asked[r.query_id] in titles.values()]
     assert sum(titles[r.item_id] == asked[r.query_id] for r in bought) > 0.9 * len(bought)
+
+
+def test_selected_ranks_every_query_by_a_model_that_did_not_see_it(spark, monkeypatch):
+    ids = lambda t: {r.query_id for r in t.select("query_id").distinct().collect()}
+    ranked, size = [], []
+
+    def train(table, features=None, trees=20, depth=4, seed=42):
+        size.append((trees, depth))
+        return ids(table)
+
+    monkeypatch.setattr(ml, "train_selector", train)
+    monkeypatch.setattr(ml, "rank_with_selector", lambda seen, table, limit=50: ranked.append((seen, ids(table))) or table.withColumns({"final_score": F.lit(0.0), "rank": F.lit(1)}))
+    every = {f"q{i:02d}" for i in range(30)}
+    c = spark.createDataFrame([(q, "a", "A", 1.0, 1) for q in every], "query_id string, item_id string, source string, score double, rank int")
+    champion.selected(c, c.select("query_id", "item_id"), ("A",))
+    assert not any(seen & asked for seen, asked in ranked) and sorted(q for _, asked in ranked for q in asked) == sorted(every)
+    __spark_entry__.queries()["selector_gbt_topk"](spark, SF)
+    assert set(size) == {(20, 4)}
