@@ -5,7 +5,9 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,25 +16,83 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none (a single machine, as in tests) a temporary folder is set as it.
+    Only where the session names none and runs on a single machine, as in tests, a temporary folder is set as it; on a cluster that is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
+    if path:
+        return path
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not held.isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lodestone-"))
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        path = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        spark.sparkContext.setCheckpointDir(path)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return path
+    return held.get()
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder in the shared one; the open scope, if any, owns it."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    scope = _SCOPE.get()
+    if scope is not None:
+        scope.folders.append(path)
+    return path
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Scope:
+    """Owns the folders staged while it is open, by its thread alone; at its end they are deleted, but for the frames handed on by keep().
+
+    Scopes nest: what is kept goes to the scope around, or, where there is none, stays as long as the shared folder does,
+    like any checkpoint, since a frame that a caller holds may read it at any time.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folders: list[str] = []
+        self.kept: set[str] = set()
+
+    def __enter__(self) -> Scope:
+        self._token = _SCOPE.set(self)
+        return self
 
+    @contextmanager
+    def held(self) -> Iterator[None]:
+        """Owns what is staged inside, and stays open after it."""
+        token = _SCOPE.set(self)
+        try:
+            yield
+        finally:
+            _SCOPE.reset(token)
 
-#: Folders staged by this process and not yet dropped.
-_STAGED: list[str] = []
+    def keep(self, *frames: DataFrame) -> None:
+        self.kept |= {df._staged for df in frames}
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Delete frames of this scope that nothing reads any more."""
+        for path in (df._staged for df in frames):
+            self.folders.remove(path)
+            delete_folder(self.spark, path)
+
+    def close(self) -> None:
+        for path in self.folders:
+            if path not in self.kept:
+                delete_folder(self.spark, path)
+        self.folders = []
+
+    def __exit__(self, *_: object) -> None:
+        _SCOPE.reset(self._token)
+        around = _SCOPE.get()
+        if around is not None:
+            around.folders += [p for p in self.folders if p in self.kept]
+        self.close()
+
+
+_SCOPE: ContextVar[Scope | None] = ContextVar("lodestone_scope", default=None)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -41,35 +101,19 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = stage_path(spark, name)
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
-    _STAGED.append(path)
     out = spark.read.schema(schema).parquet(path)
     out._staged = path
     return out
 
 
-def staged_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one, that drop_staged takes away like those of stage()."""
-    _STAGED.append(stage_path(spark, name))
-    return _STAGED[-1]
-
-
-def drop_staged(spark: SparkSession, since: int = 0, keep: tuple[DataFrame, ...] = ()) -> None:
-    """Delete what was staged after the first `since` folders, but for the frames kept; nothing may still read the rest."""
-    kept = {df._staged for df in keep}
-    gone = [p for p in _STAGED[since:] if p not in kept]
-    _STAGED[since:] = [p for p in _STAGED[since:] if p in kept]
-    for p in gone:
-        path = spark._jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def staged_so_far() -> int:
-    return len(_STAGED)
+def col(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id (long) and the text; other columns, whatever their names, don't reach the operator. Null text becomes empty."""
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    return docs.select(col(id_col).cast("long").alias("doc_id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
 def hash_share(column: Column, share: float) -> Column:

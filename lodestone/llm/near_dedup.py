@@ -12,13 +12,14 @@ share a key are candidates. They are compared in turns, and never all with all w
 1. each node of a key with the key's first node;
 2. in CHAINS turns, neighbours in a random order of the key's nodes, if they aren't in one group yet; large keys are
    split at random for that;
-3. nodes of a key that are in different groups by now, where their registers' estimate isn't far below the threshold:
-   first each node with the few that look nearest, then, if they are apart even so, with all. The registers of a key's
-   nodes meet in one task and are compared there, so pairs that aren't likely never become rows. Large keys are first
-   split by a second shared band.
-
-Every pair that goes on is verified on the exact similarity of the shingles, so groups have no false link, and two texts
-at the threshold are missed with a chance of (1 - SIMILARITY ** ROWS) ** BANDS, about 2 in 100 000. Groups are connected
+3. the nodes of a key that are in different groups by now meet with their words, and every pair that is not in one group
+   is compared where it shares its first band, the likeliest first. The task keeps the groups as it finds them and gives
+   only the links that join two, fewer than nodes, so pairs never become rows. Keys of more than BLOCK words are cut into
+   blocks, and each two blocks meet in a cell of their own, but for two of the key's largest group.
+
+Links are verified on the exact similarity of the shingles, so groups have no false one, and every pair that shares a band
+is verified or already joined: two texts at the threshold are missed only with the chance of no common band,
+(1 - SIMILARITY ** ROWS) ** BANDS, about 2 in 100 000, whatever the size of their keys. Groups are connected
 components of verified links, found by contraction with joins; nothing is gathered by the driver.
 
 Defined results: null and empty texts, and those of blanks alone, have no words and are copies of one another. A text
@@ -28,25 +29,24 @@ id (null if it has none), and the row kept is one of that id. An empty table giv
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from lodestone.llm.common import drop_staged, stage, staged_folder, staged_so_far
+from lodestone.llm.common import Scope, col, stage, stage_path
 from lodestone.llm.part_files import filter_rows, write_rows
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 36, 6
 REGISTERS = BANDS * ROWS
 CHAINS, CHAIN_ROWS = 2, 4096
-#: Keys of more nodes than this are split by a second band before their nodes are compared.
-LARGE = 1024
-#: Standard errors of the registers' estimate below the threshold at which a pair needs no verification.
-DOUBT = 3.5
-#: Partners that look nearest, with which a node is compared before all.
+#: Words (and a node's registers, as words) of a block of a key's nodes, about.
+BLOCK, REGISTER_WORDS = 1 << 19, REGISTERS // 4
+#: Partners that look nearest, with which a node is compared before the others.
 NEAREST = 6
 #: Texts to compare meet in tiles of about so many heads and blocks of so many members.
 HEADS, MEMBERS = 64, 512
@@ -131,8 +131,8 @@ def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_docs:
     return held
 
 
-def signed(words: DataFrame, registers: int = REGISTERS) -> DataFrame:
-    """words: any columns and `words`, hashes of each text's words. The same with `registers` (16 bits each) instead."""
+def signed(words: DataFrame, registers: int = REGISTERS, width: int = SHINGLE) -> DataFrame:
+    """words: any columns and `words`, hashes of each text's words. The same with `size`, their number, and `registers` (16 bits each) instead."""
     fields = [f for f in words.schema.fields if f.name != "words"]
     names = [f.name for f in fields]
 
@@ -142,12 +142,11 @@ def signed(words: DataFrame, registers: int = REGISTERS) -> DataFrame:
                 batch = whole.slice(at, 512)
                 lists = batch.column("words")
                 counts = np.array(lists.value_lengths(), np.int64)
-                doc, element, weight = shingles(lists.flatten().to_numpy(zero_copy_only=False), counts)
+                doc, element, weight = shingles(lists.flatten().to_numpy(zero_copy_only=False), counts, width)
                 held = (mix(signatures(doc, element, weight, len(counts), registers)) >> _U(48)).astype("<u2")
-                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array([r.tobytes() for r in held], pa.binary())], names=[*names, "registers"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(counts), pa.array([r.tobytes() for r in held], pa.binary())], names=[*names, "size", "registers"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return words.mapInArrow(run, f"{schema}, registers binary")
+    return words.mapInArrow(run, StructType([*fields, StructField("size", LongType()), StructField("registers", BinaryType())]))
 
 
 def band(registers: Column, number: Column) -> Column:
@@ -173,8 +172,8 @@ def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarr
     return float((1 / (high[both] / p[both] + low[both] / q[both])).sum())
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float, partitions: int) -> DataFrame:
-    """a, b of `pairs` (distinct) whose texts are similar. texts: node, words.
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float, partitions: int, width: int) -> DataFrame:
+    """a, b of `pairs` (distinct) whose texts are similar. texts: row, words.
 
     About HEADS nodes a make a tile; a text b comes to a tile once, with the list of the tile's nodes that it is to be
     compared with, and in blocks of about MEMBERS, to which the tile's heads are copied.
@@ -183,6 +182,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, partitions: i
     heads = pairs.select("a").distinct()
     tiles = max(1, -(-heads.count() // HEADS))
     tile = F.pmod(F.xxhash64("a"), F.lit(tiles))
+    texts = only(texts, pairs.select(F.explode(F.array("a", "b")).alias("node"))).withColumnRenamed("row", "node")
     wanted = pairs.groupBy(tile.alias("tile"), "b").agg(F.collect_list("a").alias("heads"))
     counts = wanted.groupBy("tile").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks"))
     members = wanted.join(counts, "tile").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")).join(texts.withColumnRenamed("node", "b"), "b").select("tile", "block", "b", "heads", "words")
@@ -197,7 +197,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, partitions: i
                 batch = whole.slice(at, 512)
                 lists = batch.column("words")
                 counts = np.array(lists.value_lengths(), np.int64)
-                doc, element, weight = shingles(lists.flatten().to_numpy(zero_copy_only=False), counts)
+                doc, element, weight = shingles(lists.flatten().to_numpy(zero_copy_only=False), counts, width)
                 edges = np.searchsorted(doc, np.arange(len(counts) + 1))
                 out: list[tuple[int, int]] = []
                 for k, (t, block, b, asked) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("tile", "block", "b", "heads")), strict=True)):
@@ -219,138 +219,230 @@ def mapped(df: DataFrame, column: str, to: DataFrame) -> DataFrame:
 
 
 def contract(edges: DataFrame) -> DataFrame:
-    """node, label: every node of the edges (a, b) that isn't the smallest of its component, and that smallest."""
-    spark = edges.sparkSession
-    left = stage(edges.where("a <> b").distinct(), "edges")
-    labels = None
-    while not left.isEmpty():
-        ends = left.select("a", "b").unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = stage(ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).where("label < node"), "step")
-        labels = stage(step if labels is None else mapped(labels, "label", step).unionByName(step.join(labels.select("node"), "node", "left_anti")), "labels")
-        left = stage(mapped(mapped(left, "a", step), "b", step).where("a <> b").distinct(), "edges")
-    return labels if labels is not None else spark.createDataFrame([], "node long, label long")
-
-
-def joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """The labels after more edges between nodes."""
-    more = contract(mapped(mapped(edges, "a", labels), "b", labels))
-    return stage(mapped(labels, "label", more).unionByName(more.join(labels.select("node"), "node", "left_anti")), "labels")
+    """node, label: every node of the edges (a, b) that isn't the smallest of its component, and that smallest; staged."""
+    with Scope(edges.sparkSession) as scope:
+        left = stage(edges.where("a <> b").distinct(), "edges")
+        labels = None
+        while not left.isEmpty():
+            ends = left.select("a", "b").unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            step = stage(ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).where("label < node"), "step")
+            labels = stage(step if labels is None else mapped(labels, "label", step).unionByName(step.join(labels.select("node"), "node", "left_anti")), "labels")
+            left = stage(mapped(mapped(left, "a", step), "b", step).where("a <> b").distinct(), "edges")
+        if labels is None:
+            labels = stage(left.select(F.col("a").alias("node"), F.col("b").alias("label")), "labels")
+        scope.keep(labels)
+    return labels
+
+
+def joined(labels: DataFrame | None, edges: Callable[[], DataFrame], spark: SparkSession) -> DataFrame:
+    """The labels after more edges between nodes; staged. What finding the edges stages goes with them."""
+    with Scope(spark) as scope:
+        links = stage(edges(), "links")
+        if labels is None:
+            out = contract(links)
+        else:
+            more = contract(mapped(mapped(links, "a", labels), "b", labels))
+            out = stage(mapped(labels, "label", more).unionByName(more.join(labels.select("node"), "node", "left_anti")), "labels")
+        scope.keep(out)
+    return out
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY, carry: tuple[str, ...] = (), width: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """(row, doc_id, class_id, kept) for every row, and the staged rows themselves: row, doc_id, text, the carried columns."""
+    """(row, doc_id, class_id, kept) for every row, and the staged rows themselves: row, doc_id, text, and the carried columns as carried_0, carried_1, ..."""
     spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    before = staged_so_far()
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"carried_{c}") for c in carry))
-    rows = stage(rows, "documents")
-    words = split_words(F.col("text"))
-    seen = rows.select("row", "doc_id", F.unhex(F.substring(F.sha2(F.array_join(words, " "), 256), 1, 32)).alias("same"), F.transform(words, lambda w: F.xxhash64(w)).alias("words"))
-    copies = stage(signed(seen), "signed")
-    # one node for each sequence of words, named by its first row; copies are counted before the shuffle
-    nodes = stage(copies.groupBy("same").agg(F.min("row").alias("node"), F.min("doc_id").alias("low"), F.first("registers").alias("registers")), "nodes")
-    signs = nodes.where(F.col("registers") != F.lit(EMPTY)).select("node", "registers")
-    keys = signs.select("node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: band(F.col("registers"), k))).alias("band", "key"))
-    shared = keys.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
-    met = stage(keys.join(shared, "key"), "candidates")
-    folder = staged_folder(spark, "candidate-rows")
-    write_rows(met.select(F.col("node").alias("row")).distinct(), folder, partitions)
-    texts = filter_rows(rows.select("row", "text"), folder, keep=True).select(F.col("row").alias("node"), F.transform(words, lambda w: F.xxhash64(w)).alias("words"))
-    texts = stage(texts, "candidate-texts")
-
-    # 1. with the first of each key
-    edges = verified(met.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), texts, threshold, partitions)
-    labels = stage(contract(stage(edges, "links")), "labels")
-    # 2. with neighbours in a random order
-    for turn in range(CHAINS):
-        now = mapped(met.select("key", "n", "node", F.col("node").alias("label")), "label", labels)
-        order = Window.partitionBy("key", F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("n") / CHAIN_ROWS))).orderBy(F.xxhash64("node", F.lit(-1 - turn)), "node")
-        near = now.withColumns({"a": F.lag("node").over(order), "other": F.lag("label").over(order)}).where("other <> label")
-        pairs = near.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        labels = joined(labels, stage(verified(pairs, texts, threshold, partitions), "links"))
-    # 3. the registers of those that are still apart
-    for nearest in (NEAREST, None):
-        now = mapped(met.select("key", "band", "n", "node", F.col("node").alias("label")), "label", labels)
-        apart = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-        marked = now.join(apart, "key").join(signs, "node").select("key", "band", F.lit(-1).alias("second"), "n", "node", "label", "registers")
-        others = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
-        split = marked.where(F.col("n") > LARGE).withColumn("second", others).where("second <> band").withColumn("key", F.xxhash64("key", band(F.col("registers"), F.col("second"))))
-        some = marked.where(F.col("n") <= LARGE).unionByName(split).drop("n").repartition(partitions, "key").sortWithinPartitions("key", "label", "node")
-        pairs = some.mapInArrow(lambda b, m=nearest: likely(b, threshold, m), "a long, b long").distinct()
-        labels = joined(labels, stage(verified(pairs, texts, threshold, partitions), "links"))
-
-    named = mapped(nodes.select("same", "node", "low", F.col("node").alias("label")), "label", labels)
-    named = stage(named, "named")
-    classes = named.groupBy("label").agg(F.min("low").alias("class_id"))
-    of_text = named.join(classes, "label").select("same", "label", "class_id")
-    out = stage(copies.select("row", "doc_id", "same").join(of_text, "same").select("row", "doc_id", "label", "class_id"), "classed")
-    drop_staged(spark, before, keep=(rows, out))
+    with Scope(spark) as scope:
+        rows = docs.select(F.monotonically_increasing_id().alias("row"), col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"), *(col(c).alias(f"carried_{k}") for k, c in enumerate(carry)))
+        rows = stage(rows, "documents")
+        words = split_words(F.col("text"))
+        seen = rows.select("row", "doc_id", F.unhex(F.substring(F.sha2(F.array_join(words, " "), 256), 1, 32)).alias("same"), F.transform(words, lambda w: F.xxhash64(w)).alias("words"))
+        copies = stage(signed(seen, width=width), "signed")
+        # one node for each sequence of words, named by its first row; copies are counted before the shuffle
+        nodes = stage(copies.groupBy("same").agg(F.min("row").alias("node"), F.min("doc_id").alias("low"), F.first("registers").alias("registers"), F.first("size").alias("size")), "nodes")
+        labels = labelled(rows, nodes, threshold, width)
+        named = mapped(nodes.select("same", "node", "low", F.col("node").alias("label")), "label", labels)
+        named = stage(named, "named")
+        classes = named.groupBy("label").agg(F.min("low").alias("class_id"))
+        of_text = named.join(classes, "label").select("same", "label", "class_id")
+        out = stage(copies.select("row", "doc_id", "same").join(of_text, "same").select("row", "doc_id", "label", "class_id"), "classed")
+        scope.keep(rows, out)
     first = out.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("label").agg(F.min("row").alias("row"))
     return out.join(first.select("row", F.lit(True).alias("kept")), "row", "left").select("row", "doc_id", "class_id", F.coalesce("kept", F.lit(False)).alias("kept")), rows
 
 
-def likely(batches: Iterable[pa.RecordBatch], threshold: float, nearest: int | None) -> Iterator[pa.RecordBatch]:
-    """a, b of nodes that share a key, a outside the key's largest group, have different labels, and whose estimate isn't DOUBT standard errors below the threshold.
-
-    A pair comes from one key only, that of the first band (and, where keys are split, the first two bands) that it
-    shares. Rows come sorted by key and label. nearest: at most so many partners of each node, those of the highest estimates.
+def labelled(rows: DataFrame, nodes: DataFrame, threshold: float, width: int) -> DataFrame:
+    """node, label of the nodes that are not the smallest of their group."""
+    spark = rows.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with Scope(spark) as scope:
+        signs = nodes.where(F.col("size") > 0).select("node", "size", "registers")
+        keys = signs.select("node", "size", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: band(F.col("registers"), k))).alias("band", "key"))
+        shared = keys.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
+        met = stage(keys.join(shared, "key"), "candidates")
+        texts = stage(only(rows.select("row", "text"), met.select("node")).select("row", F.transform(split_words(F.col("text")), lambda w: F.xxhash64(w)).alias("words")), "candidate-texts")
+
+        def compared(pairs: DataFrame) -> DataFrame:
+            return verified(pairs, texts, threshold, partitions, width)
+
+        # 1. with the first of each key
+        labels = joined(None, lambda: compared(met.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()), spark)
+        # 2. with neighbours in a random order; a key of two nodes, and the first of each key, have met all by now
+        met = met.where("n > 2")
+        for turn in range(CHAINS):
+            now = mapped(met.select("key", "n", "node", F.col("node").alias("label")), "label", labels)
+            order = Window.partitionBy("key", F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("n") / CHAIN_ROWS))).orderBy(F.xxhash64("node", F.lit(-1 - turn)), "node")
+            near = now.withColumns({"a": F.lag("node").over(order), "other": F.lag("label").over(order)}).where("other <> label")
+            pairs = near.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+            labels = joined(labels, lambda p=pairs: compared(p), spark)
+        # 3. all that are still apart
+        now = mapped(met.where("node <> first").select("key", "band", "node", "size", F.col("node").alias("label")), "label", labels)
+
+        def meet() -> DataFrame:
+            apart = stage(cells(now), "cells")
+            moved = only(texts, apart.select("node")).select(F.col("row").alias("node"), "words").join(signs.select("node", "registers"), "node")
+            ready = apart.join(moved, "node").repartition(partitions, "key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+            return ready.select("key", "band", "i", "j", "second", "node", "label", "registers", "words").mapInArrow(lambda b: still_apart(b, threshold, width), "a long, b long")
+
+        labels = joined(labels, meet, spark)
+        scope.keep(labels)
+    return labels
+
+
+def only(table: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of a staged table (column row) that are among `nodes` (a column node, repeats allowed); the table is not shuffled."""
+    spark = table.sparkSession
+    folder = stage_path(spark, "row-names")
+    write_rows(nodes.select(F.col("node").alias("row")).distinct(), folder, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return filter_rows(table, folder, keep=True)
+
+
+def cells(now: DataFrame) -> DataFrame:
+    """key, band, node, label and the cell (i, j) of the blocks i and j of the key; second: the node is of block j, not i.
+
+    A key's largest group is cut into blocks of its own, which meet the other blocks but not one another.
     """
-    least = threshold - DOUBT * (threshold * (1 - threshold) / REGISTERS) ** 0.5
-
-    def compare(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        node, label = (np.concatenate([r.column(c).to_numpy() for r in rows]) for c in ("node", "label"))
-        out: list[np.ndarray] = []
-        if label[0] != label[-1]:
-            registers = np.frombuffer(b"".join(x for r in rows for x in r.column("registers").to_pylist()), "<u2").reshape(len(node), REGISTERS)
-            values, counts = np.unique(label, return_counts=True)
-            few = np.flatnonzero(label != values[counts.argmax()])  # each pair has one node outside the largest group
-            step = max(1, (1 << 24) // (len(node) * REGISTERS))
-            for at in range(0, len(few), step):
-                mine = few[at : at + step]
-                near = (registers[mine][:, None, :] == registers[None, :, :]).mean(2)
-                near[label[mine][:, None] == label[None, :]] = 0
-                if nearest and len(node) > nearest:
-                    near[near < np.partition(near, -nearest, 1)[:, -nearest][:, None]] = 0
-                i, j = np.nonzero(near >= least)
-                shared = (registers[mine[i]].reshape(-1, BANDS, ROWS) == registers[j].reshape(-1, BANDS, ROWS)).all(2)
-                first = shared.argmax(1)
-                here = first == int(rows[0].column("band")[0].as_py())
-                if (second := int(rows[0].column("second")[0].as_py())) >= 0:
-                    low, high = sorted((int(rows[0].column("band")[0].as_py()), second))
-                    here = first == low
-                    shared[np.arange(len(first)), first] = False
-                    here &= shared.argmax(1) == high
-                i, j = i[here], j[here]
-                out.append(np.stack([node[mine[i]], node[j]]))
-        found = np.unique(np.concatenate(out, 1), axis=1) if out else np.zeros((2, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], names=["a", "b"])
-
-    now, held = None, []
+    weight = F.col("size") + REGISTER_WORDS
+    by_label = now.groupBy("key", "label").agg(F.sum(weight).alias("words"))
+    most = F.max(F.struct("words", "label"))
+    by_key = by_label.groupBy("key").agg(F.count("*").alias("labels"), F.sum("words").alias("words"), most.alias("most")).where("labels > 1")
+    split = F.col("words") > BLOCK
+    by_key = by_key.select(
+        "key", F.when(split, F.col("most.label")).alias("main"), F.when(split, F.ceil((F.col("words") - F.col("most.words")) / BLOCK)).otherwise(1).cast("int").alias("others"),
+        F.when(split, F.ceil(F.col("most.words") / BLOCK)).otherwise(0).cast("int").alias("mains"))
+    own = F.col("label").eqNullSafe(F.col("main"))
+    block = F.when(own, F.col("others") + F.pmod(F.xxhash64("node"), F.greatest("mains", F.lit(1)))).otherwise(F.pmod(F.xxhash64("node"), F.col("others"))).cast("int")
+    partners = F.sequence(F.lit(0), F.when(own, F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1))
+    placed = now.join(by_key, "key").withColumn("block", block).withColumn("with", F.explode(partners))
+    return placed.select("key", "band", "node", "label", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), (F.col("block") > F.col("with")).alias("second"))
+
+
+class Groups:
+    """Groups of a cell's nodes, by position, joined as links are found."""
+
+    def __init__(self, labels: np.ndarray):
+        self.of = np.unique(labels, return_inverse=True)[1]
+
+    def join(self, a: int, b: int) -> None:
+        self.of[self.of == self.of[b]] = self.of[a]
+
+
+class Shingled:
+    """The shingles of a cell's nodes, by position."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, width: int):
+        doc, self.element, self.weight = shingles(words, counts, width)
+        self.edge = np.searchsorted(doc, np.arange(len(counts) + 1))
+        self.total = np.bincount(doc, self.weight, len(counts))
+        distinct, self.number = np.unique(self.element, return_inverse=True)
+        self.dense = np.zeros(len(distinct))
+
+    def similarity(self, a: int, b: int) -> float:
+        x, y = (slice(self.edge[k], self.edge[k + 1]) for k in (a, b))
+        return probability_jaccard(self.element[x], self.weight[x], self.element[y], self.weight[y])
+
+    def at_most(self, a: int, others: np.ndarray) -> np.ndarray:
+        """What the similarity of a with each of the others can't exceed; exact where common shingles' weights are in one proportion.
+
+        The similarity sums 1 / sum over all d' of max(x[d'] / x[d], y[d'] / y[d]) over common d. Of that maximum, elements of one set alone give
+        their own term, and common ones at least the greater of both sums.
+        """
+        size = self.edge[others + 1] - self.edge[others]
+        which = np.repeat(np.arange(len(others)), size)
+        at = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + self.edge[others][which]
+        own = slice(self.edge[a], self.edge[a + 1])
+        self.dense[self.number[own]] = self.weight[own]
+        x = self.dense[self.number[at]]
+        self.dense[self.number[own]] = 0
+        both = np.flatnonzero(x)
+        x, y, which = x[both], self.weight[at[both]], which[both]
+        n = len(others)
+        total, totals = self.total[a], self.total[others]
+        only_x, only_y = total - np.bincount(which, x, n), totals - np.bincount(which, y, n)
+        least = np.maximum(total / x + only_y[which] / y, only_x[which] / x + totals[which] / y)
+        return np.bincount(which, 1 / least, n)
+
+
+def still_apart(batches: Iterable[pa.RecordBatch], threshold: float, width: int) -> Iterator[pa.RecordBatch]:
+    """Links a, b that join groups, of the nodes of one cell after another. Rows come sorted by cell."""
+    enough = threshold - 1e-12
+
+    def compare(rows: pa.Table) -> pa.RecordBatch:
+        node, label, second = (rows.column(c).to_numpy() for c in ("node", "label", "second"))
+        lists = rows.column("words").combine_chunks()
+        held = Shingled(lists.flatten().to_numpy(zero_copy_only=False), np.array(lists.value_lengths(), np.int64), width)
+        registers = np.frombuffer(b"".join(rows.column("registers").to_pylist()), "<u2").reshape(len(node), REGISTERS)
+        keys = np.zeros((len(node), BANDS), np.uint64)
+        for k in range(ROWS):
+            keys = mix(keys * _U(0x9E3779B97F4A7C15) + registers[:, k::ROWS] + _U(1))
+        mine = int(rows.column("band")[0].as_py())
+        apart, links = Groups(label), []
+        # small groups first: the largest one's nodes are compared with by others only
+        _, group, sizes = np.unique(label, return_inverse=True, return_counts=True)
+        order = np.lexsort((node, label, sizes[group]))
+        if second.any():
+            firsts, seconds = order[~second[order]], order[second[order]]
+        else:
+            firsts = seconds = order
+        for turn, a in enumerate(firsts.tolist()):
+            left = seconds if second.any() else seconds[turn + 1 :]
+            left = left[apart.of[left] != apart.of[a]]
+            left = left[(keys[left] == keys[a]).argmax(1) == mine]
+            if not len(left):
+                continue
+            like = (registers[left] == registers[a]).sum(1)
+            left = left[np.argsort(-like, kind="stable")]
+            for part, sure in ((left[:NEAREST], False), (left[NEAREST:], True)):
+                part = part[apart.of[part] != apart.of[a]]
+                if sure and len(part):
+                    most = held.at_most(a, part)
+                    part = part[most >= enough - 1e-9]
+                for b in part.tolist():
+                    if apart.of[b] != apart.of[a] and held.similarity(a, b) >= enough:
+                        links.append((node[a], node[b]))
+                        apart.join(a, b)
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["a", "b"])
+
+    now, parts = None, []
     for batch in batches:
-        key = batch.column("key").to_numpy()
-        edges = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+        cell = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j")])
+        edges = [0, *(np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             if a == b:
                 continue
-            if held and key[a] != now:
-                yield compare(held)
-                held = []
-            now = key[a]
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield compare(held)
-
-
-#: The registers of a text without words.
-EMPTY = bytes((mix(np.zeros(REGISTERS, np.uint64)) >> _U(48)).astype("<u2").tobytes())
+            if parts and tuple(cell[:, a]) != now:
+                yield compare(pa.Table.from_batches(parts))
+                parts = []
+            now = tuple(cell[:, a])
+            parts.append(batch.slice(a, b - a))
+    if parts:
+        yield compare(pa.Table.from_batches(parts))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """`docs` without all but one of each class; no text is shuffled."""
     others = tuple(c for c in docs.columns if c not in (id_col, text_col))
     classed, rows = groups(docs, id_col, text_col, threshold, others)
-    folder = staged_folder(docs.sparkSession, "dropped-rows")
+    folder = stage_path(docs.sparkSession, "dropped-rows")
     write_rows(classed.where(~F.col("kept")).select("row"), folder, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     kept = filter_rows(rows, folder, keep=False)
-    named = {id_col: F.col("doc_id"), text_col: F.col("text")} | {c: F.col(f"carried_{c}") for c in others}
+    named = {id_col: F.col("doc_id"), text_col: F.col("text")} | {c: F.col(f"carried_{k}") for k, c in enumerate(others)}
     return kept.select(*(named[c].alias(c) for c in docs.columns))

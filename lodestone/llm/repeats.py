@@ -33,8 +33,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from lodestone.llm.common import hash_share, staged_folder
+from lodestone.llm.common import col, hash_share, stage_path
 from lodestone.llm.part_files import IN_PART, PartFiles, Planes
 
 LENGTH, GRAM = 50, 24
@@ -146,6 +147,10 @@ ASKED = (5, 5, 1, 8)
 COVERED = (5, 5, 5)
 
 
+#: What cut() gives of each document, before its carried columns.
+CUT = "row long, doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
+
+
 def batch_of(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, schema=schema)
 
@@ -466,12 +471,12 @@ def hot_keys(staged: DataFrame, n_docs: int, length: int) -> np.ndarray:
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, carry: tuple[str, ...] = (), whole_characters: bool = False) -> DataFrame:
-    """row, doc_id, n_bytes, spans, kept, carried_<column>...: one row for each document."""
+    """row, doc_id, n_bytes, spans, kept, and the carried columns as carried_0, carried_1, ...: one row for each document."""
     spark = docs.sparkSession
-    folder = staged_folder(spark, "repeats")
+    folder = stage_path(spark, "repeats")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 2 * partitions  # tasks go through theirs one after another
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), *(F.col(c).alias(f"carried_{c}") for c in carry))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(col(text_col), F.lit("")).cast("binary").alias("text"), *(col(c).alias(f"carried_{k}") for k, c in enumerate(carry)))
     schema = rows.schema
     rows.write.option("compression", "zstd").parquet(f"{folder}/texts")
     texts = spark.read.schema(schema).parquet(f"{folder}/texts")
@@ -506,16 +511,15 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = asked.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: find(b, length), blobs)
     earlier = spark.read.schema("blob binary, kind string, part long").parquet(f"{folder}/first").where("kind = 'covered'").select("kind", "part", "blob")
     write(found.unionByName(earlier), "second")
-    carried = [f"carried_{c}" for c in carry]
-    extra = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in schema.fields if f.name in carried)
-    return texts.mapInArrow(lambda b: cut(b, f"{folder}/second/kind=covered", carried, whole_characters), f"row long, doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary{extra}")
+    carried = [f"carried_{k}" for k in range(len(carry))]
+    return texts.mapInArrow(lambda b: cut(b, f"{folder}/second/kind=covered", carried, whole_characters), StructType([*StructType.fromDDL(CUT), *(schema[c] for c in carried)]))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, n_chars_col: str = "n_chars") -> DataFrame:
     """`docs` with the repeated strings cut from the texts, whole characters only; a column n_chars of numbers follows the text."""
     others = tuple(c for c in docs.columns if c not in (id_col, text_col))
     rows = cut_repeats(docs, id_col, text_col, length, others, whole_characters=True)
-    named = {id_col: F.nullif("doc_id", F.lit(NULL_ID)), text_col: F.col("kept").cast("string")} | {c: F.col(f"carried_{c}") for c in others}
+    named = {id_col: F.nullif("doc_id", F.lit(NULL_ID)), text_col: F.col("kept").cast("string")} | {c: F.col(f"carried_{k}") for k, c in enumerate(others)}
     if n_chars_col in others:
         named[n_chars_col] = F.length(named[text_col]).cast(docs.schema[n_chars_col].dataType)
     return rows.select(*(named[c].alias(c) for c in docs.columns))

@@ -21,7 +21,7 @@ def odd(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(ODD, SCHEMA).repartition(2)
-    return df.withColumns({"row": F.lit("r"), "words": F.lit(1), "kept": F.lit("k"), "n_words": F.lit("w"), "registers": F.lit(2.5), "class_id": F.lit(None).cast("int")})
+    return df.withColumns({"row": F.lit("r"), "words": F.lit(1), "kept": F.lit("k"), "n_words": F.lit("w"), "registers": F.lit(2.5), "class_id": F.lit(None).cast("int"), "meta.url": F.lit("u"), "v": F.lit(0), "bucket": F.lit("b"), "entry": F.lit(True)})
 
 
 @pytest.fixture(scope="session")

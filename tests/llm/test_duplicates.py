@@ -68,22 +68,114 @@ def test_chains_and_hot_groups(spark):
     r = np.random.default_rng(7)
     word = lambda: "w" + str(r.integers(0, 5000))
     base = [word() for _ in range(120)]
-    data = [(i, " ".join(base)) for i in range(60)]
-    for i in range(60, 160):
+    data = [(i, " ".join(base)) for i in range(20)]
+    for i in range(20, 60):
         t = list(base)
         for k in r.integers(0, 120, 3):
             t[k] = word()
         data.append((i, " ".join(t)))
     t = list(base)
-    for i in range(160, 200):
+    for i in range(60, 90):
         t = list(t)
         t[r.integers(0, 120)] = word()
         data.append((i, " ".join(t)))
-    for i in range(200, 300):
+    for i in range(90, 130):
         data.append((i, " ".join([*base[:60], *(word() for _ in range(60))])))
     check(spark.createDataFrame(data, "doc_id long, text string").repartition(3))
 
 
+def brute_components(texts):
+    """Class (smallest position) of texts whose shingles all differ within a text, by products of incidence rows."""
+    sets = [set(weights(t)) for t in texts]
+    assert all(max(weights(t).values()) == 1 for t in texts)
+    number = {k: j for j, k in enumerate(sorted(set().union(*sets)))}
+    has = np.zeros((len(texts), len(number)), np.float32)
+    for i, s in enumerate(sets):
+        has[i, [number[k] for k in s]] = 1
+    both = has @ has.T
+    like = both / (has.sum(1)[:, None] + has.sum(1)[None, :] - both) >= 0.8 - 1e-6
+    low = np.arange(len(texts))
+    while True:
+        new = np.array([low[row].min() for row in like])
+        if (new == low).all():
+            return low.tolist(), both / (has.sum(1)[:, None] + has.sum(1)[None, :] - both)
+        low = new
+
+
+def family(r, n, base, own, name):
+    """n texts of one passage of `base` words and `own` words each."""
+    passage = [f"{name}{k}" for k in range(base)]
+    return [" ".join([*passage, *(f"{name}{i}x{k}" for k in range(own))]) for i in range(n)]
+
+
+def test_families_below_the_threshold(spark, monkeypatch):
+    """Hundreds of texts just below the threshold, thousands that share most bands' registers, and a few links hidden among them."""
+    r = np.random.default_rng(11)
+    near = family(r, 300, 104, 16, "n")
+    many = family(r, 3000, 100, 30, "m")
+    for i in range(40, 60):  # copies of others of the family with a word or two changed
+        t = many[i].split()
+        t[int(r.integers(100, 130))] = f"z{i}"
+        many.append(" ".join(t))
+    texts = [*near, *many]
+    low, like = brute_components(texts)
+    inside = like[:300, :300][~np.eye(300, dtype=bool)]
+    assert 0.72 <= inside.min() and inside.max() <= 0.79
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(nd, "BLOCK", 60_000)
+    sizes = []
+    cells = nd.cells
+    monkeypatch.setattr(nd, "cells", lambda now: sizes.append((now.groupBy("key").count().agg(F.max("count")).first()[0], cells(now).agg(F.max("j")).first()[0])) or cells(now))
+    got = {x.doc_id: x.class_id for x in nd.groups(df)[0].collect()}
+    assert [got[i] for i in range(len(texts))] == low
+    assert sizes[0][0] > 800 and sizes[0][1] >= 2  # large keys, cut in blocks
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 9), min_size=1, max_size=40), min_size=2, max_size=6))
+def test_the_bound_is_one(texts):
+    words = np.array([w for t in texts for w in t], np.int64)
+    held = nd.Shingled(words, np.array(list(map(len, texts)), np.int64), 2)
+    most = held.at_most(0, np.arange(1, len(texts)))
+    for k, bound in enumerate(most.tolist()):
+        exact = held.similarity(0, k + 1)
+        assert bound >= exact - 1e-9
+        if all(len(set(zip(t[:-1], t[1:], strict=True))) == len(t) - 1 and len(t) > 1 for t in (texts[0], texts[k + 1])):
+            assert abs(bound - exact) < 1e-9
+
+
+def test_a_scope_owns_what_it_stages(spark):
+    """Frames of one owner outlive the scopes of others, in this thread and in another."""
+    from threading import Thread
+
+    from lodestone.llm.common import Scope, stage
+
+    frame = stage(spark.range(10).toDF("x"), "mine")
+    fails = []
+
+    def other():
+        try:
+            with Scope(spark) as scope:
+                kept, gone = stage(spark.range(3).toDF("x"), "kept"), stage(spark.range(4).toDF("x"), "gone")
+                scope.keep(kept)
+            assert kept.count() == 3 and not exists(spark, gone) and exists(spark, kept)
+        except Exception as e:  # noqa: BLE001
+            fails.append(e)
+
+    with Scope(spark) as scope:
+        t = Thread(target=other)
+        t.start()
+        inner = stage(spark.range(5).toDF("x"), "inner")
+        t.join()
+        assert not fails and scope.folders == [inner._staged]
+    assert not exists(spark, inner) and frame.count() == 10
+
+
+def exists(spark, frame):
+    path = spark._jvm.org.apache.hadoop.fs.Path(frame._staged)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def test_registers_estimate_the_similarity():
     r = np.random.default_rng(2)
     for shared, only in ((60, 10), (30, 30), (3, 1)):

@@ -50,10 +50,10 @@ def test_copies_and_hot_buckets(spark, monkeypatch):
     monkeypatch.setattr(ann, "BUCKET_ROWS", 50)
     r = np.random.default_rng(6)
     near = r.normal(size=16)
-    data = [(i, [1.0] + [0.0] * 15) for i in range(150)] + [(i, (near + r.normal(size=16) * 0.01).tolist()) for i in range(150, 300)] + [(i, r.normal(size=16).tolist()) for i in range(300, 450)]
+    data = [(i, [10.0] + [0.0] * 15) for i in range(150)] + [(i, (near + r.normal(size=16) * 0.01).tolist()) for i in range(150, 300)] + [(i, r.normal(size=16).tolist()) for i in range(300, 450)]
     assert recall(spark, data) >= 0.95
     out = ann.nearest(spark.createDataFrame(data, "vec_id long, embedding array<double>")).where("query_id = 100").orderBy("rank").collect()
-    assert [x.vec_id for x in out] == list(range(20)) and {x.score for x in out} == {1.0}
+    assert [x.vec_id for x in out] == list(range(20)) and {x.score for x in out} == {100.0}
 
 
 def test_what_takes_no_part(spark):
