@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 
 #: Python's \\w and \\s, which know all scripts; Java's don't without a flag.
 WORD, SPACE = r"[\p{L}\p{N}_]+", r"(?U)\s+"
-#: A number with an optional unit after it. Fixed values.
-UNITS = ("гб", "gb", "тб", "tb", "мб", "mb", "кг", "kg", "кв", "см", "мм", "км", "cm", "mm", "km", "л", "м", "г")
+#: Units that may follow a number. Fixed values.
+UNITS = ("кг", "г", "см", "мм", "м", "л", "мл", "вт", "квм", "кв", "гб", "mb", "gb", "tb", "тб", "год", "года", "годы", "лет", "ч", "час", "часа", "часов")
 #: Units of one meaning. Fixed values.
 UNIT_ALIASES = (("гб", "gb"), ("тб", "tb"), ("мб", "mb"))
 
@@ -33,8 +33,8 @@ def collapse(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(_text(c), SPACE, " "))
 
 
-def normalize(c: Column | str, *, replace_yo: bool = True, max_chars: int | None = None, compatibility: bool = False) -> Column:
-    """Lower case, optionally NFKC first and ё as е, collapsed, cut to max_chars."""
+def normalize(c: Column | str, *, replace_yo: bool = True, max_chars: int | None = None, compatibility: bool = True) -> Column:
+    """NFKC, lower case, ё as е, collapsed, cut to max_chars. compatibility=False: without NFKC, for texts known to be in it."""
     out = F.lower(nfkc(_text(c)) if compatibility else _text(c))
     if replace_yo:
         out = F.replace(out, F.lit("ё"), F.lit("е"))
@@ -73,11 +73,12 @@ def compose_collapsed(*parts: Column | str) -> Column:
 def word_ngrams(words: Column, low: int = 1, high: int = 2) -> Column:
     """Runs of low to high words, with a space between them."""
 
-    def runs(n: int) -> Column:
-        at = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return words if n == 1 else F.transform(at, lambda i: F.array_join(F.slice(words, i, n), " "))
+    def runs(w: Column, n: int) -> Column:
+        at = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return w if n == 1 else F.transform(at, lambda i: F.array_join(F.slice(w, i, n), " "))
 
-    return F.concat(*map(runs, range(low, high + 1)))
+    # the words are bound once: they may hold what a function of a function can't
+    return F.transform(F.array(words), lambda w: F.concat(*(runs(w, n) for n in range(low, high + 1))))[0]
 
 
 def char_wb_ngrams(c: Column, low: int = 3, high: int = 5) -> Column:
@@ -91,8 +92,12 @@ def char_wb_ngrams(c: Column, low: int = 3, high: int = 5) -> Column:
 
 
 def canonical_numbers(c: Column | str) -> Column:
-    """Distinct numbers, comma as point, with the unit that follows, of one name for each meaning."""
-    pattern = r"\d+(?:[.,]\d+)?(?:\s*(?:" + "|".join(UNITS) + r")(?![\p{L}\p{N}_]))?"
+    """Distinct numbers of the normalised text, comma as point, with the unit that follows them or one blank, of one name for each meaning.
+
+    A number and its unit stand apart from letters, digits and underscores on both sides.
+    """
+    word = r"[\p{L}\p{N}_]"
+    pattern = rf"(?<!{word})\p{{Nd}}+(?:[.,]\p{{Nd}}+)?(?:\s?(?:" + "|".join(UNITS) + rf"))?(?!{word})"
 
     def canonical(x: Column) -> Column:
         out = F.regexp_replace(F.replace(x, F.lit(","), F.lit(".")), r"\s+", "")
@@ -100,7 +105,7 @@ def canonical_numbers(c: Column | str) -> Column:
             out = F.regexp_replace(out, old + "$", new)
         return out
 
-    return F.array_distinct(F.transform(F.regexp_extract_all(F.lower(_text(c)), F.lit(pattern), F.lit(0)), canonical))
+    return F.array_distinct(F.transform(F.regexp_extract_all(normalize(c), F.lit(pattern), F.lit(0)), canonical))
 
 
 def token_set(c: Column | str) -> Column:

@@ -10,13 +10,9 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.numeric import dot
-from lodestone.functions.numeric import score as rounded
+from lodestone.operators.blocks import best_in_blocks
 from lodestone.operators.candidates import top_k
 
-#: Vectors of one matrix product, and queries broadcast at a time.
-BLOCK, QUERY_BLOCK = 4096, 8192
-
 
 def validate_vectors(vectors: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
     """One row: vectors, distinct keys, least and greatest length, vectors with a null or non-finite part."""
@@ -25,59 +21,21 @@ def validate_vectors(vectors: DataFrame, key: str, vector: str = "embedding") ->
 
 
 def exact_top_k(items: DataFrame, queries: DataFrame, k: int, vector: str = "embedding") -> DataFrame:
-    """Each query against every item. Blocks of queries go to the items' tasks, where matrix products keep the best k of each.
-
-    The block of queries is collected once, and its size is bounded by QUERY_BLOCK; more queries take more turns.
-    """
-    spark = items.sparkSession
-    n = queries.count()
-    turns = max(1, -(-n // QUERY_BLOCK))
-    found = None
-    for turn in range(turns):
-        some = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(turns)) == turn).select("query_id", F.col(vector).cast("array<double>").alias("v"))
-        rows = some.collect()
-        held = spark.sparkContext.broadcast(([r.query_id for r in rows], np.array([r.v for r in rows], np.float64)))
-
-        def search(batches: Iterable[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            ids, matrix = held.value
-            best_s, best_i = None, None
-            for whole in batches:
-                for at in range(0, whole.num_rows, BLOCK):
-                    batch = whole.slice(at, BLOCK)
-                    if not ids:
-                        continue
-                    x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                    s = np.round(matrix @ x.T, 9)
-                    i = np.array(batch.column("item_id").to_pylist(), object)[None, :].repeat(len(ids), 0)
-                    if best_s is not None:
-                        s, i = np.concatenate([best_s, s], 1), np.concatenate([best_i, i], 1)
-                    if s.shape[1] > k:
-                        keep = np.empty((len(ids), k), np.int64)
-                        for r in range(len(ids)):
-                            near = np.flatnonzero(s[r] >= np.partition(s[r], -k)[-k])
-                            keep[r] = sorted(near.tolist(), key=lambda j, r=r: (-s[r, j], i[r, j]))[:k]
-                        s, i = np.take_along_axis(s, keep, 1), np.take_along_axis(i, keep, 1)
-                    best_s, best_i = s, i
-            if best_s is not None:
-                for r in range(0, len(ids), 512):
-                    part = ids[r : r + 512]
-                    width = best_s.shape[1]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(part, object), width).tolist()), pa.array(best_i[r : r + 512].ravel().tolist()), pa.array(best_s[r : r + 512].ravel())], names=["query_id", "item_id", "score"])
-
-        kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, score double"
-        part = items.select("item_id", F.col(vector).cast("array<double>").alias("v")).mapInArrow(search, kinds)
-        found = part if found is None else found.unionByName(part)
-    return top_k(found, k)
+    """Each query against every item, by matrix products where blocks of items meet the queries."""
+    v = F.col(vector).cast("array<double>").alias("v")
+    return top_k(best_in_blocks(items.select("item_id", v), queries.select("query_id", v), k).drop("block"), k)
 
 
 def routed_top_k(items: DataFrame, queries: DataFrame, allowed: DataFrame, k: int, fallback_k: int = 0, vector: str = "embedding") -> DataFrame:
     """Items of the allowed routes only; with a fallback, the best of all that are missing join, and all are ranked by score."""
-    asked = queries.select("query_id", F.col(vector).alias("q")).join(allowed, "query_id")
-    pairs = asked.join(items.select("item_id", "route", F.col(vector).alias("x")), "route")
-    inside = top_k(pairs.select("query_id", "item_id", rounded(dot(F.col("q"), F.col("x"))).alias("score")), k)
+    v = F.col(vector).cast("array<double>").alias("v")
+    lists = allowed.groupBy("query_id").agg(F.collect_set(F.col("route").cast("string")).alias("routes"))
+    asked = queries.select("query_id", v).join(lists, "query_id", "left")
+    found = best_in_blocks(items.select("item_id", "route", v), asked, max(k, fallback_k), fallback_k)
+    inside = top_k(found.where("block = 1").drop("block"), k)
     if not fallback_k:
         return inside
-    more = exact_top_k(items, queries, fallback_k, vector).join(inside.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti")
+    more = top_k(found.drop("block"), fallback_k).join(inside.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti")
     return top_k(inside.drop("rank").unionByName(more.drop("rank")), k + fallback_k)
 
 

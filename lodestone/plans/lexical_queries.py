@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import candidates as cand
 from lodestone.operators import lexical
 from lodestone.plans import mapping as m
 from lodestone.plans.registry import query
-from lodestone.plans.text_queries import _NORM, CHAR_WB
+from lodestone.plans.text_queries import _NORM, CHAR_WB, MARKED_SQL, NUMBERS_SQL, marked
 
 K = 10
 _TOP = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id)"
@@ -51,9 +50,9 @@ def tfidf_part_topk(spark, d):
     return lexical.tfidf(m.items(spark, d), m.queries(spark, d), K, text="title")
 
 
-@query("tfidf_zero_padding", m.sql(", asked AS (SELECT query_id, 'zzz ' || title AS title FROM queries WHERE title LIKE 'red%' UNION ALL SELECT 'empty', '')" + tfidf_sql(words("item_id", "lower(title)", "items"), words("query_id", "lower(title)", "asked")) + padded_sql("asked", 300) + " SELECT * FROM ranked", "items", "queries"))
+@query("tfidf_zero_padding", m.sql(", asked AS (SELECT query_id, 'zzz ' || title AS title FROM queries UNION ALL SELECT 'empty', '')" + tfidf_sql(words("item_id", "lower(title)", "items"), words("query_id", "lower(title)", "asked")) + padded_sql("asked", 300) + " SELECT * FROM ranked", "items", "queries"))
 def tfidf_zero_padding(spark, d):
-    q = m.queries(spark, d).where("title LIKE 'red%'").select("query_id", F.concat(F.lit("zzz "), "title").alias("title"))
+    q = m.queries(spark, d).select("query_id", F.concat(F.lit("zzz "), "title").alias("title"))
     return lexical.tfidf(m.items(spark, d), q.unionByName(spark.createDataFrame([("empty", "")], "query_id string, title string")), 300, text="title")
 
 
@@ -182,12 +181,13 @@ def tfidf_routed_fallback(spark, d):
     return lexical.tfidf_routed(*_routed(spark, d), 20, text="title", fallback_k=10)
 
 
-_NUM = r"(SELECT DISTINCT {key}, unnest(list_transform(regexp_extract_all(lower({text}), '[0-9]+(?:[.,][0-9]+)?(?:\s*cm)?'), lambda x: regexp_replace(replace(x, ',', '.'), '\s+', '', 'g'))) AS num FROM {source})"
+def _numbers(key, source):
+    return f"(SELECT {key}, unnest({NUMBERS_SQL.format(text='text')}) AS num FROM {source})"
 
 
-@query("numeric_overlap", m.sql(", asked AS (SELECT item_id AS query_id, text || ' 7' AS text FROM items)" + f", qn AS {_NUM.format(key='query_id', text='text', source='asked')}, n AS (SELECT query_id, count(*) AS n FROM qn GROUP BY query_id), i AS {_NUM.format(key='item_id', text='text', source='items')}, hits AS (SELECT query_id, item_id, round(count(*) / any_value(n), 9) AS score FROM qn JOIN n USING (query_id) JOIN i USING (num) GROUP BY query_id, item_id) SELECT *, {_TOP} AS rank FROM hits QUALIFY rank <= {K}", "items"))
+@query("numeric_overlap", m.sql(f", held AS (SELECT item_id, {MARKED_SQL} AS text FROM items), asked AS (SELECT item_id AS query_id, text || ' 7' AS text FROM held), qn AS {_numbers('query_id', 'asked')}, n AS (SELECT query_id, count(*) AS n FROM qn GROUP BY query_id), i AS {_numbers('item_id', 'held')}, hits AS (SELECT query_id, item_id, round(count(*) / any_value(n), 9) AS score FROM qn JOIN n USING (query_id) JOIN i USING (num) GROUP BY query_id, item_id) SELECT *, {_TOP} AS rank FROM hits QUALIFY rank <= {K}", "items"))
 def numeric_overlap(spark, d):
-    i = m.items(spark, d)
+    i = marked(m.items(spark, d))
     return lexical.numeric_overlap(i, i.select(F.col("item_id").alias("query_id"), F.concat("text", F.lit(" 7")).alias("text")), K)
 
 
@@ -203,7 +203,22 @@ def history_replay(spark, d):
     return lexical.history_replay(t, m.queries(spark, d), K, "title")
 
 
-@query("multi_branch_union", m.sql("SELECT source, count(*) AS n FROM candidates GROUP BY source", "candidates"))
+_BRANCH_SQL = " UNION ALL ".join(f"SELECT * FROM ({_field_sql(b)})" for b in "ABCD")
+
+
+@query("multi_branch_union", _BRANCH_SQL)
 def multi_branch_union(spark, d):
-    c = m.candidates(spark, d)
-    return cand.union(*(c.where(F.col("source") == s) for s in ("A", "N", "R"))).groupBy("source").agg(F.count("*").alias("n"))
+    """All four branches, by other names of theirs."""
+    return lexical.multi_branch(*_fields(spark, d), K, {"query_title": "title", "branch_b": "text", "description": "text", "d": "filters"})
+
+
+@query("bm25_pair_scores", m.sql(", asked AS (SELECT * FROM queries)" + _bm25() + ", pairs AS (SELECT DISTINCT q.query_id, i.item_id FROM queries q JOIN items i ON i.location = q.location) SELECT query_id, item_id, coalesce(score, 0.0) AS score FROM pairs LEFT JOIN hits USING (query_id, item_id)", "items", "queries"))
+def bm25_pair_scores(spark, d):
+    """BM25 of given pairs: queries and items of one location."""
+    i, q = m.items(spark, d), m.queries(spark, d)
+    return lexical.bm25_score(i, q, q.select("query_id", "location").join(i.select("item_id", "location"), "location"))
+
+
+@query("tfidf_max_features", m.sql(", kept AS (SELECT term FROM " + words("item_id", "lower(text)", "items") + " GROUP BY term ORDER BY count(*) DESC, term LIMIT 40)" + tfidf_sql("(SELECT * FROM " + words("item_id", "lower(text)", "items") + " WHERE term IN (SELECT term FROM kept))", "(SELECT * FROM " + words("query_id", "lower(text)", "queries") + " WHERE term IN (SELECT term FROM kept))") + f" SELECT *, {_TOP} AS rank FROM hits QUALIFY rank <= {K}", "items", "queries"))
+def tfidf_max_features(spark, d):
+    return lexical.tfidf(m.items(spark, d), m.queries(spark, d), K, pad=False, max_features=40)

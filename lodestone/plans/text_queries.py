@@ -46,9 +46,25 @@ def router_text(spark, d):
     return t.select("query_id", tx.compose(F.trim("search_query"), F.trim("search_infm_params_text"), F.concat(F.lit("cat_"), "search_category")).alias("word_text"), F.concat(F.lit(" "), F.trim("search_query"), F.lit(" ")).alias("char_text")).distinct()
 
 
-@query("canonical_numbers", m.sql("SELECT item_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(lower(text), '[0-9]+(?:[.,][0-9]+)?(?:\\s*cm)?'), lambda x: regexp_replace(replace(x, ',', '.'), '\\s+', '', 'g')))), ' ') AS numbers FROM items".replace("\\\\", "\\"), "items"))
+#: What stands beside an item's text, so that units, blanks and neighbours of numbers occur.
+MARKS = ("5 лет", "память 128 ГБ", "iphone12", "2,5кг 1.2.3", "100 вт x9_", "12abc 7  мл 45,5 кв.м")
+MARKED_SQL = "text || ' ' || CASE position % 6 " + " ".join(f"WHEN {j} THEN '{x}'" for j, x in enumerate(MARKS)) + " END"
+#: A number stands apart on both sides: as this dialect can't look around, all that isn't a word character is doubled first, so that each number has marks of its own.
+NUMBERS_SQL = (
+    r"list_distinct(list_transform(regexp_extract_all(regexp_replace(trim(regexp_replace(replace(lower({text}), 'ё', 'е'), '\s+', ' ', 'g')), '([^\p{{L}}\p{{N}}_])', '\1\1', 'g'), "
+    r"'(?:^|[^\p{{L}}\p{{N}}_])(\p{{Nd}}+(?:(?:\.\.|,,)\p{{Nd}}+)?(?:(?:  )?(?:" + "|".join(tx.UNITS) + r"))?)(?:[^\p{{L}}\p{{N}}_]|$)', 1), "
+    r"lambda x: regexp_replace(regexp_replace(replace(replace(replace(x, ' ', ''), '..', '.'), ',,', '.'), 'гб$', 'gb'), 'тб$', 'tb')))")
+
+
+def marked(items):
+    """Items with numbers and units of all kinds in their text."""
+    pick = F.element_at(F.array(*map(F.lit, MARKS)), (F.col("position") % len(MARKS) + 1).cast("int"))
+    return items.withColumn("text", F.concat_ws(" ", "text", pick))
+
+
+@query("canonical_numbers", m.sql(f"SELECT item_id, array_to_string(list_sort({NUMBERS_SQL.format(text=MARKED_SQL)}), ' ') AS numbers FROM items", "items"))
 def canonical_numbers(spark, d):
-    return m.items(spark, d).select("item_id", F.array_join(F.array_sort(tx.canonical_numbers("text")), " ").alias("numbers"))
+    return marked(m.items(spark, d)).select("item_id", F.array_join(F.array_sort(tx.canonical_numbers("text")), " ").alias("numbers"))
 
 
 @query("word_ngrams", m.sql(r", t AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM items), g AS (SELECT item_id, unnest(w) AS gram FROM t UNION ALL SELECT item_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM t) SELECT gram, count(*) AS n FROM g GROUP BY gram", "items"))
