@@ -37,6 +37,12 @@ def entropy(p: Column) -> Column:
     return F.aggregate(p, F.lit(0.0), lambda s, x: s - F.when(x > 0, x * F.log(x)).otherwise(F.lit(0.0)))
 
 
+def margin(p: Column) -> Column:
+    """The greatest probability less the second; of one alone, itself."""
+    sorted_p = F.sort_array(p, asc=False)
+    return F.element_at(sorted_p, 1) - F.coalesce(F.try_element_at(sorted_p, F.lit(2)), F.lit(0.0))
+
+
 def score(c: Column) -> Column:
     """Scores are rounded before they rank, so that sums in another order can't turn a tie."""
     return F.round(c, 9)

@@ -85,12 +85,47 @@ def negatives_report(negatives: DataFrame, positives: DataFrame, items: DataFram
     return duplicate_keys(negatives, ["query_id", "item_id"]).crossJoin(overlap).crossJoin(over).crossJoin(unknown)
 
 
+def ground_truth_relation(truth: DataFrame) -> DataFrame:
+    """query_id, item_id of a ground truth in which no pair stands twice."""
+    if not truth.groupBy("query_id", "item_id").count().where("count > 1").isEmpty():
+        raise SchemaError("a pair of the ground truth stands twice")
+    return truth.select("query_id", "item_id")
+
+
+def oof_report(table: DataFrame) -> DataFrame:
+    """One row: rows, repeated keys (fold, query_id, item_id), distinct folds, the least and greatest of them, labels but 0 and 1, positives."""
+    require_columns(table, ("fold", "query_id", "item_id", "label"))
+    wrong = F.count_if(F.col("label").isNull() | ~F.col("label").isin(0, 1))
+    rows = table.agg(F.count("*").alias("rows"), F.count_distinct(F.col("fold").cast("int")).alias("folds"), F.min(F.col("fold").cast("int")).alias("first_fold"), F.max(F.col("fold").cast("int")).alias("last_fold"), wrong.alias("bad_labels"), F.count_if(F.col("label") == 1).alias("positives"))
+    return rows.crossJoin(duplicate_keys(table, ["fold", "query_id", "item_id"]))
+
+
+def verify_oof(table: DataFrame, folds: int = 3) -> dict:
+    """Rows, folds and positives of an out-of-fold table whose keys are unique, whose folds are 0 .. folds - 1 and whose labels are 0 and 1."""
+    found = oof_report(table).first().asDict()
+    if found["duplicate_keys"] or found["bad_labels"] or (found["folds"], found["first_fold"], found["last_fold"]) != (folds, 0, folds - 1):
+        raise SchemaError(str(found))
+    return {k: found[k] for k in ("rows", "folds", "positives")} | {"status": True}
+
+
+def hard_training_rows(positives: DataFrame, negatives: DataFrame) -> DataFrame:
+    """Negatives with label 0, if none stands twice and none is a known positive."""
+    for df in (positives, negatives):
+        require_columns(df, ("query_id", "item_id"))
+    if not negatives.groupBy("query_id", "item_id").count().where("count > 1").isEmpty():
+        raise SchemaError("a hard negative stands twice")
+    if not negatives.join(positives.select("query_id", "item_id"), ["query_id", "item_id"], "left_semi").isEmpty():
+        raise SchemaError("a known positive is a hard negative")
+    return negatives.withColumn("label", F.lit(0))
+
+
 def submission_report(answers: DataFrame, queries: DataFrame, items: DataFrame, exactly: int | None = None, at_most: int = 50) -> DataFrame:
-    """One row about rows (query_id, answer of space-joined ids): queries missing or unknown, lists of a wrong length, repeated or unknown ids."""
+    """One row about rows (query_id, answer of space-joined ids): queries missing, unknown or answered twice, lists of a wrong length, repeated or unknown ids."""
     split = answers.withColumn("ids", F.filter(F.split("answer", " "), lambda x: x != ""))
     wrong = (F.size("ids") != exactly) if exactly is not None else (F.size("ids") > at_most)
     lists = split.agg(F.count("*").alias("answers"), F.count_if(wrong).alias("wrong_length"), F.count_if(F.size("ids") != F.size(F.array_distinct("ids"))).alias("repeated"), F.count_if(F.array_join("ids", " ") != F.col("answer")).alias("bad_spacing"))
     missing = queries.join(answers, "query_id", "left_anti").agg(F.count("*").alias("missing_queries"))
     extra = answers.join(queries, "query_id", "left_anti").agg(F.count("*").alias("unknown_queries"))
     unknown = split.select(F.explode("ids").alias("item_id")).join(items, "item_id", "left_anti").agg(F.count("*").alias("unknown_items"))
-    return lists.crossJoin(missing).crossJoin(extra).crossJoin(unknown)
+    twice = duplicate_keys(answers, ["query_id"]).withColumnRenamed("duplicate_keys", "repeated_queries")
+    return lists.crossJoin(missing).crossJoin(extra).crossJoin(unknown).crossJoin(twice)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.numeric import score as rounded
+from lodestone.operators.contracts import SchemaError
 
 
 def cutoffs(candidates: DataFrame, ks: Sequence[int]) -> DataFrame:
@@ -28,6 +29,15 @@ def recall_at(candidates: DataFrame, truth: DataFrame, ks: Sequence[int]) -> Dat
     return query_recall(candidates, truth, ks).groupBy("k").agg(rounded(F.avg("recall")).alias("recall"), F.count("*").alias("queries"))
 
 
+def ranking_metrics(candidates: DataFrame, truth: DataFrame, queries: DataFrame, ks: Sequence[int]) -> DataFrame:
+    """k, recall over the queries given; no ground truth at all, or a query without any, is an error."""
+    if truth.isEmpty():
+        raise SchemaError("empty ground truth")
+    if not queries.join(truth, "query_id", "left_anti").isEmpty():
+        raise SchemaError("a query without ground truth")
+    return recall_over_queries(candidates, truth.join(queries.select("query_id").distinct(), "query_id", "left_semi"), queries, ks)
+
+
 def recall_over_queries(candidates: DataFrame, truth: DataFrame, queries: DataFrame, ks: Sequence[int]) -> DataFrame:
     """Mean over the queries given; one without truth scores 0."""
     each = query_recall(candidates, truth, ks)
@@ -108,7 +118,7 @@ def source_overlap(candidates: DataFrame, k: int) -> DataFrame:
 
 
 def bootstrap_means(per_query: DataFrame, value: str, replicates: int = 200, seed: int = 42) -> DataFrame:
-    """Mean, and 2.5 and 97.5 % of the replicates' means: Poisson weights drawn from a hash of query and replicate."""
+    """Mean, 2.5 and 97.5 % of the replicates' means, and the share of these that isn't over 0 (a one-sided p where the value is a gain): Poisson weights drawn from a hash of query and replicate."""
     weighted = per_query.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("u", (F.pmod(F.xxhash64("query_id", "replicate", F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30))
     edges, total, term = [], 0.0, 0.36787944117144233
     for n in range(8):
@@ -117,5 +127,5 @@ def bootstrap_means(per_query: DataFrame, value: str, replicates: int = 200, see
         term /= n + 1
     weight = sum((F.col("u") > e).cast("int") for e in edges)
     means = weighted.groupBy("replicate").agg((F.sum(weight * F.col(value)) / F.greatest(F.sum(weight), F.lit(1))).alias("m"))
-    low_high = means.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("p"))
-    return per_query.agg(F.avg(value).alias("mean")).crossJoin(F.broadcast(low_high)).select("mean", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
+    low_high = means.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("p"), F.avg((F.col("m") <= 0).cast("double")).alias("p_not_positive"))
+    return per_query.agg(F.avg(value).alias("mean")).crossJoin(F.broadcast(low_high)).select("mean", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"), "p_not_positive")

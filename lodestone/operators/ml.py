@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
@@ -11,7 +12,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,6 +47,35 @@ def rank_with_selector(model, table: DataFrame, limit: int = 50) -> DataFrame:
     return top_k(score_selector(model, table), limit, "final_score")
 
 
+def save_selector(model, folder: str) -> None:
+    model.write().overwrite().save(folder)
+
+
+def load_selector(folder: str):
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(folder)
+
+
+def rank_out_of_fold(table: DataFrame, limit: int = 50, folds: int = 5, seed: int = 42, features: Sequence[str] | None = None, trees: int = 20, depth: int = 4) -> DataFrame:
+    """query_id, item_id, fold, final_score, rank: each fold of the queries ranked by a model that saw only the others.
+
+    Queries are whole in a fold. A pairwise ranking loss has no counterpart here: the model is pointwise, on features that are also taken relative to
+    their query (the difference to its mean), so that it learns order within a query.
+    """
+    from lodestone.functions.ids import hash_bucket
+
+    names = list(features or feature_columns(table))
+    within = Window.partitionBy("query_id")
+    wide = table.withColumns({f"{n}_within": F.col(n) - F.avg(n).over(within) for n in names}).withColumn("fold", hash_bucket(F.concat(F.lit(f"{seed}:"), "query_id"), folds))
+    used, out = [*names, *(f"{n}_within" for n in names)], None
+    for n in range(folds):
+        model = train_selector(wide.where(F.col("fold") != n), used, trees, depth, seed)
+        one = rank_with_selector(model, wide.where(F.col("fold") == n), limit).select("query_id", "item_id", "fold", "final_score", "rank")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def rerank(pairs: DataFrame, scorer: Callable[[list[str], list[str]], Sequence[float]], limit: int = 50) -> DataFrame:
     """query_id, item_id, query_text, item_text through a scorer of text pairs, in Arrow batches."""
 
@@ -58,15 +88,6 @@ def rerank(pairs: DataFrame, scorer: Callable[[list[str], list[str]], Sequence[f
     return top_k(pairs.select("query_id", "item_id", "query_text", "item_text").mapInArrow(run, f"{kinds}, rerank_score double"), limit, "rerank_score")
 
 
-def pair_text(query: str, title: str, params: str, description: str, max_words: int) -> str:
-    """Query and item as one text; the description is cut first if they are too long."""
-    clean = ["" if x == "nan" else x or "" for x in (query, title, params, description)]
-    head = [f"{name}: {x}" for name, x in zip(("query", "title", "params"), clean, strict=False) if x]
-    room = max_words - sum(len(x.split()) for x in head) - 4
-    tail = clean[3].split()[: max(0, room)]
-    return "\n".join([*head, *(["description: " + " ".join(tail)] if tail else [])])
-
-
 def token_ids(text: str, vocabulary: int) -> list[int]:
     """Tokens to 1 .. vocabulary - 1 by BLAKE2b; 0 stands for none."""
     words = re.findall(r"\w+", text.lower())
@@ -100,6 +121,26 @@ class TwoTower:
         out = np.tanh(self.means(texts) @ self.weights[side])
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
+    def save(self, spark: SparkSession, folder: str) -> None:
+        """Settings and arrays, in two files under the folder, on any file system that Spark writes."""
+        from lodestone.sources.tables import write_bytes, write_json
+
+        held = io.BytesIO()
+        np.savez(held, **self.weights)
+        write_bytes(spark, held.getvalue(), f"{folder}/weights.npz")
+        write_json({"vocabulary": self.vocabulary, "width": self.width, "dimension": self.dimension, "seed": self.seed}, f"{folder}/model.json", spark)
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> TwoTower:
+        from lodestone.sources.tables import read_bytes, read_json
+
+        with np.load(io.BytesIO(read_bytes(spark, f"{folder}/weights.npz"))) as held:
+            model = cls(**read_json(f"{folder}/model.json", spark), weights={k: held[k] for k in held.files})
+        for name, shape in (("tokens", (model.vocabulary, model.width)), ("query", (model.width, model.dimension)), ("item", (model.width, model.dimension))):
+            if model.weights.get(name, np.zeros(0)).shape != shape:
+                raise ValueError(f"{folder}: weights of {name} aren't {shape}")
+        return model
+
     def encoder(self, side: str) -> Callable[[list[str]], np.ndarray]:
         return lambda texts: self.encode(texts, side)
 

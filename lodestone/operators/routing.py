@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.numeric import clipped_log_share
+from lodestone.functions.numeric import clipped_log_share, entropy
 from lodestone.functions.numeric import score as rounded
 from lodestone.operators.candidates import row_rank
 
@@ -68,7 +68,8 @@ def hybrid(history: DataFrame, queries: DataFrame, classifier: DataFrame, k: int
     else:
         guessed = guessed.select("query_id", "category", "probability")
     lacking = rest.join(classifier.select("query_id").distinct(), "query_id", "left_anti").select("query_id")
-    total = prior(history).withColumn("probability", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))).select("category", "probability")
+    # the k first of the prior are all that a query can get of it; so many rows are broadcast
+    total = prior(history).withColumn("probability", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))).where(F.col("rank") <= k).select("category", "probability")
     out = sure.unionByName(guessed).unionByName(lacking.crossJoin(F.broadcast(total))).withColumn("probability", rounded(F.col("probability")))
     return out.withColumn("rank", row_rank(["query_id"], [F.desc("probability"), F.asc("category")])).where(F.col("rank") <= k)
 
@@ -84,15 +85,50 @@ def expand(routes: DataFrame, items: DataFrame) -> DataFrame:
     return routes.select("query_id", "category").join(items.select("item_id", "category"), "category").select("query_id", "item_id")
 
 
-def adaptive_k(routes: DataFrame, ks: tuple[int, int, int] = (15, 10, 5), shares: tuple[float, float] = (0.333, 0.667)) -> DataFrame:
-    """Fewer routes for queries that are surer: tertiles of the best probability pick each query's k."""
-    best = routes.groupBy("query_id").agg(F.max("probability").alias("best"))
-    edges = best.agg(F.percentile("best", F.array(*map(F.lit, shares))).alias("e"))
+#: How sure a query's probabilities are, by name; more is surer.
+CONFIDENCE = {
+    "top1": lambda p: F.element_at(p, 1),
+    "margin": lambda p: F.element_at(p, 1) - F.coalesce(F.try_element_at(p, F.lit(2)), F.lit(0.0)),
+    "entropy": lambda p: -entropy(p),
+}
+
+
+def adaptive_k(routes: DataFrame, ks: tuple[int, int, int] = (15, 10, 5), shares: tuple[float, float] = (0.333, 0.667), signal: str = "top1", unseen: DataFrame | None = None) -> DataFrame:
+    """Fewer routes for queries that are surer: tertiles of the signal pick each query's k (5 to 15, or 8 to 12).
+
+    signal: the best probability, its margin over the second, or entropy (less is surer). unseen: query_id of those whose tertiles count, else all.
+    A query at the lower edge is unsure, one at the upper edge middling.
+    """
+    sorted_p = F.sort_array(F.collect_list("probability"), asc=False)
+    best = routes.groupBy("query_id").agg(sorted_p.alias("p")).select("query_id", rounded(CONFIDENCE[signal](F.col("p"))).alias("best"))
+    measured = best if unseen is None else best.join(unseen.select("query_id"), "query_id", "left_semi")
+    edges = measured.agg(F.percentile("best", F.array(*map(F.lit, shares))).alias("e"))
     k = F.when(F.col("best") <= F.col("e")[0], ks[0]).when(F.col("best") <= F.col("e")[1], ks[1]).otherwise(ks[2])
     chosen = best.crossJoin(F.broadcast(edges)).select("query_id", k.alias("k"))
     return routes.join(chosen, "query_id").where(F.col("rank") <= F.col("k"))
 
 
+def containment(routes: DataFrame, truth: DataFrame) -> DataFrame:
+    """segment, item_containment: the mean share of a query's items whose category is among its routes. truth: query_id, item_id, category, is_seen."""
+    marked = truth.join(routes.select("query_id", "category", F.lit(1.0).alias("in_route")).distinct(), ["query_id", "category"], "left")
+    each = marked.groupBy("query_id", "is_seen").agg(F.avg(F.coalesce("in_route", F.lit(0.0))).alias("share"))
+    sets = each.rollup("is_seen").agg(rounded(F.avg("share")).alias("item_containment"), F.grouping("is_seen").alias("g"))
+    return sets.select(F.when(F.col("g") == 1, "overall").when(F.col("is_seen"), "seen").otherwise("unseen").alias("segment"), "item_containment")
+
+
+def routing_grid(routes: DataFrame, truth: DataFrame, sizes: DataFrame, ks: Sequence[int]) -> DataFrame:
+    """For each k: the share of queries with a true category among the first k routes, and the sum of their categories' sizes: mean, interpolated median and p95, least, most.
+
+    routes: query_id, category, rank. truth: query_id, category. sizes: category, n.
+    """
+    cut = routes.withColumn("k", F.explode(F.filter(F.array(*map(F.lit, ks)), lambda k: k >= F.col("rank"))))
+    size = cut.join(sizes, "category", "left").groupBy("query_id", "k").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("size"))
+    hit = cut.join(truth.select("query_id", "category").distinct(), ["query_id", "category"], "left_semi").select("query_id", "k").distinct().withColumn("hit", F.lit(1.0))
+    every = truth.select("query_id").distinct().withColumn("k", F.explode(F.array(*map(F.lit, ks)))).join(size, ["query_id", "k"], "left").join(hit, ["query_id", "k"], "left")
+    every = every.select("k", F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("hit", F.lit(0.0)).alias("hit"))
+    return every.groupBy("k").agg(rounded(F.avg("hit")).alias("containment"), rounded(F.avg("size")).alias("mean_size"), rounded(F.percentile("size", F.lit(0.5))).alias("p50_size"), rounded(F.percentile("size", F.lit(0.95))).alias("p95_size"), F.min("size").alias("min_size"), F.max("size").alias("max_size"))
+
+
 def evaluate(routes: DataFrame, truth: DataFrame, sizes: DataFrame) -> DataFrame:
     """segment, category_hit, corpus sizes: mean, upper median, p95, max, and share of the corpus.
 
@@ -131,6 +167,10 @@ def classifier_routes(train: DataFrame, queries: DataFrame, k: int, features: in
     from lodestone.operators import lexical
 
     text = F.coalesce(F.col("text"), F.lit("")).alias("text")
+    classes = [r.category for r in train.select("category").distinct().limit(2).collect()]
+    if len(classes) < 2:  # nothing to tell apart: the one class is sure
+        alone = queries.select("query_id").withColumns({"category": F.lit(classes[0] if classes else None).cast(train.schema["category"].dataType), "probability": F.lit(1.0), "rank": F.lit(1)})
+        return alone if classes else alone.limit(0)
 
     def blocks(texts: DataFrame, *keep: str) -> DataFrame:
         word, char = (lexical.postings(texts, "text", "text", analyzer, keep).withColumn("block", F.lit(n)) for n, analyzer in enumerate((lexical.word_12, lexical.char_wb_35)))

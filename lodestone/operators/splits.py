@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions import text as tx
 from lodestone.functions.ids import hash_bucket, hash_number, hash_split
 from lodestone.operators.contracts import SchemaError
 
@@ -55,7 +56,7 @@ def context_holdout(train: DataFrame, corpus: DataFrame, train_fold: int = 0, fo
 
 def strict_unseen(train: DataFrame, text: str = "text", folds: int = 5, seed: int = 42) -> DataFrame:
     """Interactions by whether their normalised query text is held out; a text is on one side only."""
-    return train.withColumn("part", F.when(hash_bucket(F.concat(F.lit(f"{seed}:"), F.col(text)), folds) == 0, "unseen").otherwise("seen"))
+    return train.withColumn("part", F.when(hash_bucket(F.concat(F.lit(f"{seed}:"), tx.normalize(text)), folds) == 0, "unseen").otherwise("seen"))
 
 
 def stratified_sample(rows: DataFrame, strata: Sequence[str], per_stratum: int, seed: int = 42, key: str = "query_id") -> DataFrame:

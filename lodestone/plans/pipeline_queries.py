@@ -25,14 +25,20 @@ def selected_answer(spark, d):
 
 
 _A, _B = (f"list_distinct(regexp_extract_all(lower({c}), '[0-9a-z]+'))" for c in ("item_title", "item_text"))
-_FEATURES = ranking_queries.PLACED + f""", n AS (SELECT *, score / (max(score) OVER q + 1e-6) AS score_norm, (score - avg(score) OVER q) / (coalesce(stddev_pop(score) OVER q, 1.0) + 1e-6) AS score_z, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS r FROM placed WINDOW q AS (PARTITION BY query_id))
- SELECT query_id, n.item_id, round(score_norm, 6) AS score_norm, round(score_z, 5) AS score_z, round(1 / (r + 60), 9) AS inverse_rank, {ranking_queries.TIER} AS geo_tier, round(coalesce(distance_km, 500.0), 5) AS distance_km, CASE WHEN q_location = i_location THEN 1 ELSE 0 END AS same_location, len(list_intersect({_A}, {_B}))::INTEGER AS shared_words
+_NEAR, _SAME = "coalesce(distance_km, 500.0)", "(CASE WHEN q_location = i_location THEN 1 ELSE 0 END)"
+_SHARED = f"len(list_intersect({_A}, {_B}))"
+_FEATURES = ranking_queries.PLACED + f""", n AS (SELECT *, max(score) OVER q AS best, avg(score) OVER q AS mean, coalesce(stddev_pop(score) OVER q, 1.0) AS deviation, count(*) OVER q AS n_candidates, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS r FROM placed WINDOW q AS (PARTITION BY query_id))
+ SELECT query_id, n.item_id, score, round(score / (best + 1e-6), 6) AS score_norm, round(best - score, 6) AS score_diff, round((score - mean) / (deviation + 1e-6), 5) AS score_z, n_candidates, round(1 / (r + 60), 9) AS inverse_rank, {ranking_queries.TIER} AS geo_tier, round({_NEAR}, 5) AS distance_km, round(exp(-0.25 * {_NEAR} / 10), 9) AS distance_decay,
+ round(ln(1 + {_NEAR}), 7) AS log_distance, {_SAME} AS same_location, CASE WHEN q_category = i_category THEN 1 ELSE 0 END AS same_category, CASE WHEN q_category = 0 THEN 1 ELSE 0 END AS any_category, 1 AS q_delivery, round({_NEAR}, 5) AS delivery_distance, {_SAME} AS delivery_same, len({_A})::INTEGER AS query_words, len({_B})::INTEGER AS item_words,
+ {_SHARED}::INTEGER AS shared_words, round({_SHARED} / len({_A}), 9) AS word_recall, round({_SHARED} / len(list_distinct(list_concat({_A}, {_B}))), 9) AS word_jaccard
  FROM n JOIN (SELECT item_id, title AS item_title, text AS item_text FROM items) t ON t.item_id = n.item_id"""
+_DIGITS = {"score_norm": 6, "score_diff": 6, "score_z": 5, "inverse_rank": 9, "distance_km": 5, "distance_decay": 9, "log_distance": 7, "delivery_distance": 5, "word_recall": 9, "word_jaccard": 9}
 
 
 @query("ranker_features", m.sql(_FEATURES, *ranking_queries.NEED))
 def ranker_features(spark, d):
+    """All columns of a ranker."""
     placed = ranking_queries.placed(spark, d)
     texts = placed.select("query_id", "item_id").join(m.items(spark, d).select("item_id", F.col("title").alias("query_text"), F.col("text").alias("item_text")), "item_id").withColumn("q_delivery", F.lit(1))
     f = champion.ranker_features(placed, texts)
-    return f.select("query_id", "item_id", F.round("score_norm", 6).alias("score_norm"), F.round("score_z", 5).alias("score_z"), F.round("inverse_rank", 9).alias("inverse_rank"), "geo_tier", F.round("distance_km", 5).alias("distance_km"), "same_location", "shared_words")
+    return f.select(*(F.round(c, _DIGITS[c]).alias(c) if c in _DIGITS else c for c in f.columns))

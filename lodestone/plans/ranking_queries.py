@@ -95,7 +95,7 @@ def submission_rows(spark, d):
     return answer_rows(fusion.reciprocal_rank_fusion(m.candidates(spark, d)), m.suppliers(spark, d).select("query_id"))
 
 
-@query("submission_contract", m.sql(ANSWERS + " SELECT (SELECT count(*) FROM answers) AS answers, (SELECT count(*) FROM answers WHERE len(string_split(answer, ' ')) > 50) AS wrong_length, (SELECT count(*) FROM answers WHERE len(string_split(answer, ' ')) <> len(list_distinct(string_split(answer, ' ')))) AS repeated, 0::BIGINT AS bad_spacing, 0::BIGINT AS missing_queries, 0::BIGINT AS unknown_queries, (SELECT count(*) FROM (SELECT unnest(string_split(answer, ' ')) AS i FROM answers) WHERE i <> '' AND i NOT IN (SELECT item_id FROM items)) AS unknown_items", "candidates", "suppliers", "items"))
+@query("submission_contract", m.sql(ANSWERS + " SELECT (SELECT count(*) FROM answers) AS answers, (SELECT count(*) FROM answers WHERE len(string_split(answer, ' ')) > 50) AS wrong_length, (SELECT count(*) FROM answers WHERE len(string_split(answer, ' ')) <> len(list_distinct(string_split(answer, ' ')))) AS repeated, 0::BIGINT AS bad_spacing, 0::BIGINT AS missing_queries, 0::BIGINT AS unknown_queries, (SELECT count(*) FROM (SELECT unnest(string_split(answer, ' ')) AS i FROM answers) WHERE i <> '' AND i NOT IN (SELECT item_id FROM items)) AS unknown_items, (SELECT count(*) FROM (SELECT 1 FROM answers GROUP BY query_id HAVING count(*) > 1)) AS repeated_queries", "candidates", "suppliers", "items"))
 def submission_contract(spark, d):
     q = m.suppliers(spark, d).select("query_id")
     return contracts.submission_report(answer_rows(fusion.reciprocal_rank_fusion(m.candidates(spark, d)), q), q, m.items(spark, d).select("item_id"))

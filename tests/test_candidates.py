@@ -17,28 +17,55 @@ def truth(spark, pairs):
     return spark.createDataFrame(pairs, "query_id string, item_id string")
 
 
-def test_ties_go_to_the_smaller_id(spark):
-    c = frame(spark, [("q", "b", "x", 1.0, 1), ("q", "a", "x", 1.0, 2)])
-    assert cand.rank_candidates(c, limit=1).first().item_id == "a"
-
-
-def test_rank_gaps_are_refused(spark):
-    items = spark.createDataFrame([("a",), ("b",)], "item_id string")
-    with pytest.raises(contracts.CandidateError):
-        contracts.validate_candidates(frame(spark, [("q", "b", "x", 1.0, 1), ("q", "a", "x", 1.0, 3)]), items)
-    contracts.validate_candidates(frame(spark, [("q", "b", "x", 1.0, 1), ("q", "a", "x", 1.0, 2)]), items)
-
-
-def test_recall_counts_missing_queries(spark):
-    c = frame(spark, [("q1", "a", "x", 1.0, 1)])
-    assert evaluate.recall_at(c, truth(spark, [("q1", "a"), ("q2", "b")]), [1]).first().recall == 0.5
-
-
-def test_union_and_recovered(spark):
-    c = frame(spark, [("q", "a", "x", 2.0, 1), ("q", "b", "x", 1.0, 2), ("q", "c", "y", 2.0, 1), ("q", "d", "y", 1.0, 2)])
-    t = truth(spark, [("q", "b"), ("q", "d")])
-    assert evaluate.recall_at(c, t, [2]).first().recall == 1.0
-    assert evaluate.recovered(c.where("source = 'x'"), c.where("source = 'y'"), t, 2).first().recovered == 1
+def test_ties_across_sources(spark):
+    """Equal scores of three sources: each pair counts once, the smaller id is first, and null scores are last."""
+    c = frame(spark, [("k", "m3", "s", 7.5, 1), ("k", "m1", "t", 7.5, 1), ("k", "m2", "u", 7.5, 1), ("k", "m1", "u", 2.0, 2), ("k", "m0", "s", None, 2), ("n", "m9", "s", -1.0, 1)])
+    assert rows(cand.rank_candidates(c, limit=3), "query_id", "item_id", "rank") == [("k", "m1", 1), ("k", "m2", 2), ("k", "m3", 3), ("n", "m9", 1)]
+    assert rows(cand.rank_candidates(c, limit=9).where("query_id = 'k'"), "rank", "item_id")[-1] == (4, "m0")
+
+
+@pytest.mark.parametrize("change, wrong", [({"rank": 4}, True), ({"rank": 0}, True), ({"score": float("nan")}, True), ({"item_id": "other"}, True), ({}, False)])
+def test_contract_of_candidates(spark, change, wrong):
+    """Ranks without gaps from 1, finite scores and known items; a list of each source by itself."""
+    held = [{"query_id": "z", "item_id": f"p{n}", "source": s, "score": 9.0 - n, "rank": n} for s in "st" for n in (1, 2, 3)]
+    held[2] |= change
+    items = spark.createDataFrame([(f"p{n}",) for n in (1, 2, 3, 4)], "item_id string")
+    c = spark.createDataFrame([tuple(h[k] for k in ("query_id", "item_id", "source", "score", "rank")) for h in held], SCHEMA)
+    if wrong:
+        with pytest.raises(contracts.CandidateError):
+            contracts.validate_candidates(c, items)
+    else:
+        contracts.validate_candidates(c, items)
+
+
+def test_recall_by_hand(spark):
+    """Four queries of the truth: half found, found too late, found twice by two sources, and none; one asked without truth."""
+    t = truth(spark, [("u", "a"), ("u", "b"), ("v", "c"), ("w", "d"), ("x", "e")])
+    c = frame(spark, [("u", "a", "s", 5.0, 1), ("u", "q", "s", 4.0, 2), ("v", "q", "s", 5.0, 1), ("v", "c", "s", 4.0, 2), ("w", "d", "s", 1.0, 1), ("w", "d", "t", 1.0, 1), ("y", "a", "s", 1.0, 1)])
+    assert rows(evaluate.recall_at(c, t, [1, 2]), "k", "recall", "queries") == [(1, 0.375, 4), (2, 0.625, 4)]
+    asked = spark.createDataFrame([("u",), ("y",)], "query_id string")
+    assert rows(evaluate.recall_over_queries(c, t, asked, [2]), "recall", "queries") == [(0.25, 2)]
+    with pytest.raises(contracts.SchemaError):
+        evaluate.ranking_metrics(c, t, asked, [2])
+    with pytest.raises(contracts.SchemaError):
+        evaluate.ranking_metrics(c, t.limit(0), asked, [2])
+    assert evaluate.recovered(c.where("source = 't'"), c.where("source = 's'"), t, 2).first().recovered == 2
+
+
+def test_tables_of_folds_and_negatives(spark):
+    oof = spark.createDataFrame([(f, "q", f"i{f}", f % 2) for f in range(3)], "fold int, query_id string, item_id string, label int")
+    assert contracts.verify_oof(oof) == {"rows": 3, "folds": 3, "positives": 1, "status": True}
+    for bad in (oof.unionByName(oof.limit(1)), oof.where("fold <> 1"), oof.withColumn("label", oof.label + 1)):
+        with pytest.raises(contracts.SchemaError):
+            contracts.verify_oof(bad)
+    t = truth(spark, [("q", "a"), ("q", "b")])
+    assert contracts.ground_truth_relation(t).count() == 2
+    with pytest.raises(contracts.SchemaError):
+        contracts.ground_truth_relation(t.unionByName(t))
+    assert contracts.hard_training_rows(t, truth(spark, [("q", "c")])).first().label == 0
+    for bad in ([("q", "a")], [("q", "c"), ("q", "c")]):
+        with pytest.raises(contracts.SchemaError):
+            contracts.hard_training_rows(t, truth(spark, bad))
 
 
 def test_rrf(spark):

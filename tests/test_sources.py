@@ -1,7 +1,9 @@
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.operators import contracts, ml, splits
-from lodestone.sources import tables
+from lodestone.sources import experiments, tables
 from lodestone.streaming import recall as stream
 
 
@@ -14,6 +16,61 @@ def test_submission_round_trip(spark, tmp_path):
     assert got == {"q" * 16: "i" * 16, "r" * 16: ""}
 
 
+def test_submission_is_one_file_in_order(spark, tmp_path):
+    q = spark.createDataFrame([("r" * 16, 1), ("q" * 16, 0)], "query_id string, position long")
+    items = spark.createDataFrame([("i" * 16,), ("j" * 16,)], "item_id string")
+    ranked = spark.createDataFrame([("q" * 16, "j" * 16, 2), ("q" * 16, "i" * 16, 1)], "query_id string, item_id string, rank int")
+    path = tmp_path / "answer.csv"
+    path.write_text("old")
+    tables.write_submission(ranked, q, items, f"file://{path}", version="v2")
+    assert path.read_text() == f"query_id,answer\n{'q' * 16},{'i' * 16} {'j' * 16}\n{'r' * 16},\n" == (tmp_path / "answer.csv.v2").read_text()
+    assert tables.read_json(f"file://{path}.v2.json", spark)["answers"] == 2
+    assert not [p for p in tmp_path.iterdir() if "writing" in p.name or "ready" in p.name or "before" in p.name]
+    for bad in ("\ufeffquery_id,answer\n", "query_id,answers\n", f"query_id,answer\n{'r' * 16},\n{'q' * 16},\n", f"query_id,answer\n{'q' * 16},\n{'q' * 16},\n{'r' * 16},\n", f"query_id,answer\n{'q' * 16}\n{'r' * 16},\n"):
+        wrong = tmp_path / f"wrong{hash(bad)}.csv"
+        wrong.write_text(bad, encoding="utf-8")
+        with pytest.raises(contracts.SchemaError):
+            tables.validate_submission(spark, f"file://{wrong}", q, items)
+
+
+def test_models_are_kept(spark, tmp_path):
+    model = ml.TwoTower(vocabulary=64, width=4, dimension=3)
+    ml.train_two_tower(model, [("red phone", "phone red"), ("old lamp", "lamp")], 2)
+    model.save(spark, str(tmp_path / "towers"))
+    again = ml.TwoTower.load(spark, str(tmp_path / "towers"))
+    assert np.array_equal(model.encode(["red lamp"], "query"), again.encode(["red lamp"], "query"))
+    table = spark.createDataFrame([("q", str(i), i % 2, float(i % 2)) for i in range(40)], "query_id string, item_id string, label int, x double")
+    ml.save_selector(ml.train_selector(table, ["x"], 2, 2), str(tmp_path / "selector"))
+    best = ml.rank_with_selector(ml.load_selector(str(tmp_path / "selector")), table, 20)
+    assert {r.label for r in best.collect()} == {1}
+
+
+def test_experiments(spark, tmp_path):
+    runs = experiments.Experiments()
+    with pytest.raises(ValueError):
+        runs.best()
+    for name, recall in (("b", 0.5), ("a", 0.5), ("c", 0.1)):
+        runs.add(experiments.Run(name, "d", "c", {"recall@50": recall}))
+    runs.add(experiments.Run("none", "d", "c"))
+    assert runs.best().run_id == "a"
+    with pytest.raises(ValueError):
+        runs.add(experiments.Run("x", "other", "c"))
+    runs.write(spark, str(tmp_path / "runs.json"))
+    assert experiments.Experiments.load(spark, str(tmp_path / "runs.json")).runs == runs.runs
+
+
+def test_candidate_sink(spark, tmp_path):
+    items = spark.createDataFrame([("a",), ("b",)], "item_id string")
+    c = spark.createDataFrame([("q", "b", "x", 1.0, 2), ("q", "a", "x", 2.0, 1)], "query_id string, item_id string, source string, score double, rank int")
+    assert tables.write_candidates(c, items, str(tmp_path / "c"))["rows"] == 2
+    assert [r.item_id for r in spark.read.parquet(str(tmp_path / "c/rows")).collect()] == ["a", "b"]
+    with pytest.raises(contracts.CandidateError):
+        tables.write_candidates(c.where("rank = 2"), items, str(tmp_path / "c"))
+    assert spark.read.parquet(str(tmp_path / "c/rows")).count() == 2
+    m = tables.metric_rows(spark.createDataFrame([(10, 0.5)], "k int, recall double"), "run").collect()
+    assert [tuple(r) for r in m] == [("run", "recall@10", 0.5)]
+
+
 def test_submission_refuses_unknown_items(spark, tmp_path):
     q = spark.createDataFrame([("q" * 16, 0)], "query_id string, position long")
     ranked = spark.createDataFrame([("q" * 16, "x" * 16, 1)], "query_id string, item_id string, rank int")
@@ -47,6 +104,10 @@ def test_embeddings_and_fingerprint(spark, tmp_path):
     assert tables.load_embeddings(spark, str(tmp_path / "e"), "stub").count() == 2
     with pytest.raises(contracts.SchemaError):
         tables.load_embeddings(spark, str(tmp_path / "e"), "other")
+    assert tables.cached_embeddings(spark, str(tmp_path / "none"), "stub", "t") is None and tables.cached_embeddings(spark, str(tmp_path / "e"), "stub", "t") is None
+    v.withColumn("embedding", F.transform("embedding", lambda x: x + 1)).write.mode("overwrite").parquet(f"{tmp_path}/e/vectors")
+    with pytest.raises(contracts.SchemaError):
+        tables.load_embeddings(spark, str(tmp_path / "e"), "stub")
     assert tables.fingerprint(v) == tables.fingerprint(v.repartition(3))
 
 
@@ -67,11 +128,6 @@ def test_two_tower_learns():
     assert losses[-1] < losses[0]
 
 
-def test_pair_text_cuts_the_description_first():
-    t = ml.pair_text("red phone", "phone", "nan", "one two three four five six", 14)
-    assert t.splitlines()[0] == "query: red phone" and "nan" not in t and t.endswith("one two three four five")
-
-
 def test_stream_recall(spark, tmp_path):
     schema = "query_id string, item_id string, rank int"
     for n, data in enumerate(([("q1", "a", 1)], [("q2", "x", 1)])):

@@ -27,6 +27,22 @@ def test_canonical_numbers(spark):
     assert set(one(spark, tx.canonical_numbers("t"), t="квартира 45,5 кв.м 2 комн")) == {"45.5кв", "2"}
 
 
+def test_numbers_stand_apart(spark):
+    """No number inside a word; units after none or one blank; other spellings of one unit; nothing of nothing."""
+    for text, want in {
+        "модель12 12abc _7 7_": set(),
+        "лампа 100 Вт на 5 лет": {"100вт", "5лет"},
+        "полка 30см, 30 мм и 2  м": {"30см", "30мм", "2м"},
+        "диск 1ТБ или 1 tb": {"1tb"},
+        "дом 3 года 1 час 2 часа 8 часов": {"3года", "1час", "2часа", "8часов"},
+        "версия 1.2.3": {"1.2", "3"},
+        "7 kg": {"7"},
+        "１２ гб": {"12gb"},
+        None: set(),
+    }.items():
+        assert set(one(spark, tx.canonical_numbers("t"), t=text)) == want, text
+
+
 def test_char_wb(spark):
     assert one(spark, tx.char_wb_ngrams(F.col("t")), t="ab x") == [" ab", "ab ", " ab ", " x "]
     assert one(spark, tx.char_wb_ngrams(F.col("t")), t="") == []
