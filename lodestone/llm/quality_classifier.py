@@ -6,7 +6,7 @@ each labeller's accuracy and the share of good documents (Dawid & Skene, 1979; R
 a document's pattern is its soft label, and these labels fit a logistic scorer on hashed word-shape features.
 
 Defined results: a null or empty text has no words, every labeller abstains, and the scorer gives its
-bias; it gets a row like any other. Repeated rows are scored each by itself. A null id is passed through. An empty
+bias; it gets a row like any other. Repeated rows are scored each by itself. A null id is passed through, and trains like any other. An empty
 table gives an empty result. Other columns of the input are carried if asked for, and never read.
 """
 
@@ -23,14 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import hash_share, stage
+from lodestone.llm.common import col, hash_share, stage
 
 #: Votes, in base 3 within a pattern.
 ABSTAIN, BAD, GOOD = 0, 1, 2
 LABELLERS = ("symbols", "separators", "repeats", "sentences", "lines", "longest", "variety", "shouting")
 DIMENSIONS = 1 << 16
-#: At most so many documents, chosen by the hash of their ids, fit the scorer. Counts for the weak-label model use all.
-TRAINING_DOCUMENTS = 6000
+#: About so many documents at most, and of so many bytes of text together, chosen row by row by a hash, fit the scorer. Counts for the weak-label model use all.
+TRAINING_DOCUMENTS, TRAINING_BYTES = 6000, 64_000_000
+#: Words of the windows, over the whole text, of which the poorest shows its variety.
+WINDOW = 400
 
 _SYMBOLS = re.compile(r"[#*$%&|<>{}=\\^~]")
 _SHAPES = ((re.compile(r"[A-ZÀ-ÖØ-Þ]{2,}"), "Z"), (re.compile(r"(?:(?!Z)[^\W\d_])+"), "a"), (re.compile(r"\d+"), "0"), (re.compile(r"(\W)\1+"), r"\1\1"))
@@ -50,7 +52,7 @@ def votes(text: str) -> int:
     doubled = 1 - len(set(lines)) / max(len(lines), 1)
     longest = max(map(len, words))
     shouting = sum(1 for w in words if len(w) > 1 and w.isupper()) / n
-    variety = len(set(words[:400])) / min(n, 400)
+    variety = min(len(set(words[a : a + WINDOW])) / min(n, WINDOW) for a in {*range(0, n - WINDOW + 1, WINDOW), max(0, n - WINDOW)})
 
     def judge(value: float, good: float, bad: float) -> int:
         """GOOD up to `good`, BAD over `bad`, ABSTAIN between."""
@@ -177,8 +179,10 @@ class QualityModel:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", training_documents: int = TRAINING_DOCUMENTS) -> QualityModel:
     """Both models, from one pass over all documents. What reaches the driver is bounded: patterns, and the sample's features."""
-    total = docs.count()
-    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(hash_share(F.col(id_col), training_documents / max(total, 1)), F.lit(False)).alias("sampled"))
+    total = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(col(text_col))), F.lit(0)).alias("bytes")).first()
+    share = min(training_documents / max(total.n, 1), TRAINING_BYTES / max(total.bytes, 1))
+    # by row: rows of one id, or without any, are chosen each by itself
+    rows = docs.select(F.coalesce(col(text_col), F.lit("")).alias("text"), hash_share(F.struct(col(id_col).alias("id"), F.monotonically_increasing_id().alias("row")), share).alias("sampled"))
 
     def label(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes = Shapes()
@@ -208,15 +212,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trainin
 def apply(docs: DataFrame, model: QualityModel, text_col: str = "text", threshold: float = 0.5, score_col: str = "quality_score", keep_col: str = "quality_kept") -> DataFrame:
     """`docs` with the scorer's estimate that a document is good, and whether it reaches `threshold`. All columns stay, but for those of the two names, which are replaced; no shuffle."""
     weights = model.weights
-    text = F.col(f"`{text_col}`").alias("__text")
+    text = col(text_col).alias("__text")
     fields = [f for f in docs.schema.fields if f.name.lower() not in (score_col.lower(), keep_col.lower())]
-    names = [f.name for f in fields]
-    schema = T.StructType([*fields, T.StructField(score_col, T.DoubleType()), T.StructField(keep_col, T.BooleanType())])
+    # inside, columns go by number: names may hold dots
+    names = [f"c{k}" for k in range(len(fields))]
+    schema = T.StructType([*(T.StructField(n, f.dataType) for n, f in zip(names, fields, strict=True)), T.StructField("score", T.DoubleType()), T.StructField("keep", T.BooleanType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes = Shapes()
         for batch in small(batches):
             p = [score(text or "", weights, shapes) for text in batch.column(len(names)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(p, pa.float64()), pa.array([x >= threshold for x in p], pa.bool_())], names=[*names, score_col, keep_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(p, pa.float64()), pa.array([x >= threshold for x in p], pa.bool_())], names=[*names, "score", "keep"])
 
-    return docs.select(*(F.col(f"`{n}`") for n in names), text).mapInArrow(run, schema)
+    judged = docs.select(*(col(f.name).alias(n) for n, f in zip(names, fields, strict=True)), text).mapInArrow(run, schema)
+    return judged.select(*(F.col(n).alias(f.name) for n, f in zip(names, fields, strict=True)), F.col("score").alias(score_col), F.col("keep").alias(keep_col))

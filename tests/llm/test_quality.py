@@ -114,3 +114,64 @@ def test_classifier_edges(odd, none):
     again = qc.apply(out, qc.fit(odd))
     assert again.columns == out.columns
     assert qc.apply(none, qc.fit(none)).count() == 0
+
+
+def test_classifier_by_hand(docs):
+    """Estimation document by document instead of by pattern, and the scorer on dense rows, against the operator."""
+    data = docs.select("text").collect()
+    texts = [r.text or "" for r in data]
+    model = qc.fit(docs)
+    votes = [[qc.votes(t) // 3**j % 3 for j in range(len(qc.LABELLERS))] for t in texts]
+    chance, good = [[0.7, 0.999] for _ in qc.LABELLERS], 0.85
+    for _ in range(300):
+        soft = []
+        for v in votes:
+            odds = math.log(good / (1 - good))
+            for (bad, fine), x in zip(chance, v, strict=True):
+                odds += math.log(fine / bad) if x == qc.GOOD else math.log((1 - fine) / (1 - bad)) if x == qc.BAD else 0
+            soft.append(1 / (1 + math.exp(-odds)))
+        new = []
+        for j in range(len(qc.LABELLERS)):
+            sums = []
+            for side, first in ((0, 0.7), (1, 0.999)):
+                w = [(p if side else 1 - p) for p in soft]
+                sums.append((sum(x for x, v in zip(w, votes, strict=True) if v[j] == qc.GOOD) + first) / (sum(x for x, v in zip(w, votes, strict=True) if v[j] != qc.ABSTAIN) + 1))
+            new.append([min(max(sums[0], 0.02), qc.MOST_MISSED), min(max(sums[1], 1 - qc.MOST_FALSE_ALARMS), 1 - 1e-6)])
+        moved = max(abs(a - b) for x, y in zip(new, chance, strict=True) for a, b in zip(x, y, strict=True))
+        chance, good = new, min(max(sum(soft) / len(soft), 0.02), 0.98)
+        if moved < 1e-7:
+            break
+    assert np.allclose(model.labels.chance, chance, atol=1e-6) and abs(model.labels.good - good) < 1e-6
+    # the scorer: rows of weights over all slots, by products of matrices
+    shapes = qc.Shapes()
+    dense = np.zeros((len(texts), qc.DIMENSIONS + 1))
+    dense[:, -1] = 1
+    for i, t in enumerate(texts):
+        slot, value = qc.features(t, shapes)
+        dense[i, slot] = value
+    known = np.array([model.labels.posterior(np.array([qc.votes(t)]))[0] for t in texts])
+    ahead = before = np.zeros(qc.DIMENSIONS + 1)
+    for t in range(300):
+        off = 1 / (1 + np.exp(-dense @ ahead)) - known
+        w = ahead - 2 * (off @ dense / len(texts) + 1e-5 * ahead)
+        ahead, before = w + t / (t + 3) * (w - before), w
+    mine = 1 / (1 + np.exp(-dense @ w))
+    got = [r.quality_score for r in qc.apply(docs, model).select("quality_score").collect()]
+    assert np.allclose(sorted(got), sorted(mine), atol=1e-3)
+
+
+def test_variety_is_that_of_the_poorest_window():
+    rich = [f"w{k}" for k in range(400)]
+    at = qc.LABELLERS.index("variety")
+    vote = lambda words: qc.votes(" ".join(words)) // 3**at % 3
+    assert vote(rich) == vote(rich * 3) == qc.GOOD
+    assert vote([*rich, *(f"x{k % 10}" for k in range(400))]) == qc.BAD
+    assert vote([*rich, *(f"x{k % 10}" for k in range(390))]) == qc.BAD
+
+
+def test_one_id_trains_row_by_row(spark, docs):
+    one = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    a, b = qc.fit(one), qc.fit(docs)
+    assert np.allclose(a.weights, b.weights, atol=1e-5) and a.weights.any()
+    few = qc.fit(docs, training_documents=50)
+    assert few.weights.any()
