@@ -39,6 +39,7 @@ class Words(dict):
         import sentencepiece
 
         super().__init__()
+        self.frequent: dict[str, int] = {}
         self.library = sentencepiece.SentencePieceProcessor(model_file=file)
         inner = [p for p in map(self.library.id_to_piece, range(self.library.get_piece_size())) if MARK in p.lstrip(MARK)]
         if inner:
@@ -47,8 +48,9 @@ class Words(dict):
     def __missing__(self, word: str) -> int:
         n = len(self.library.encode(word, num_threads=1))
         if len(word) <= CACHED_CHARS:
-            if len(self) > CACHE_ENTRIES:
+            if len(self) > CACHE_ENTRIES + len(self.frequent):
                 self.clear()
+                self.update(self.frequent)
             self[word] = n
         return n
 
@@ -73,7 +75,8 @@ class Table:
 
     def into(self, words: Words) -> Words:
         if self.words:
-            words.update(zip(self.words.split("\n"), self.lengths.tolist(), strict=True))
+            words.frequent = dict(zip(self.words.split("\n"), self.lengths.tolist(), strict=True))
+            words.update(words.frequent)
         return words
 
 
