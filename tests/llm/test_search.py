@@ -4,7 +4,7 @@ import pytest
 
 import corpus_pipeline
 from helpers import rows
-from lodestone.llm import ann, queries, sql, url_filter
+from lodestone.llm import ann, quality_classifier, quality_rules, queries, sql, url_filter
 from lodestone.llm.common import stage_path
 
 
@@ -118,6 +118,70 @@ def test_pipeline(spark):
     assert {r.doc_id for r in out} == {r.doc_id for r in before.select("doc_id").collect()}
 
 
-def test_pipeline_run_equals_its_stages(spark):
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert out.count() > 0 and "sequence_id" in out.columns
+def whole_characters(text, runs):
+    """Runs of bytes shrunk to the characters that they cover whole, and the text without them."""
+    raw = text.encode()
+    starts = [k for k in range(len(raw)) if raw[k] & 0xC0 != 0x80] + [len(raw)]
+    gone = set()
+    for a, b in runs:
+        gone |= {k for s, e in zip(starts[:-1], starts[1:], strict=True) if a <= s and e <= b for k in range(s, e)}
+    return bytes(x for k, x in enumerate(raw) if k not in gone).decode()
+
+
+def test_pipeline_run_by_brute_force(spark):
+    """run() on sf0.001: what the stages keep, and each document's tokens, from brute force over all pairs and all strings."""
+    from tokenizers import Tokenizer
+
+    from lodestone.llm.tokens import fixed_path
+    from test_duplicates import brute_classes
+
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    judged = quality_classifier.apply(docs, quality_classifier.fit(docs)).where("quality_kept").select(docs.columns)
+    kept = quality_rules.keep_good(judged, spark.read.parquet(f"{d}/labels.parquet"))
+    data = [(r.doc_id, r.text) for r in kept.collect()]
+    first = {}
+    for (i, text), label in zip(data, brute_classes(data), strict=True):
+        if i == label:
+            first.setdefault(label, (i, text))
+    seen, texts = {}, {}
+    for i, text in sorted(first.values()):
+        raw = text.encode()
+        gone = np.zeros(len(raw), bool)
+        for p in range(len(raw) - 49):
+            if raw[p : p + 50] in seen and seen[raw[p : p + 50]] < i:
+                gone[p : p + 50] = True
+            seen.setdefault(raw[p : p + 50], i)
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(int), [0]])))
+        texts[i] = whole_characters(text, list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)))
+    library = Tokenizer.from_file(fixed_path("byte_bpe_50k.json"))
+    want = {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in texts.items()}
+    out = corpus_pipeline.run(spark, d).collect()
+    assert {r.doc_id: r.doc_tokens for r in out} == want
+    pieces, places = {}, {}
+    for r in out:
+        pieces.setdefault(r.doc_id, []).append((r.start, r.length))
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for held, total in [(p, want[i]) for i, p in pieces.items()] + [(p, None) for p in places.values()]:
+        at = 0
+        for start, length in sorted(held):
+            assert start == at
+            at += length
+        assert at == total if total else at <= 1024
+
+
+def test_pipeline_leaves_others_alone(spark):
+    """A frame of another operator, and one found by another thread meanwhile, can be read after a whole run; what the run staged is gone."""
+    from threading import Thread
+
+    d = "/root/testdata/sf0.001"
+    frame = queries.op7_nearest(spark, d)
+    before = frame.count()
+    found = []
+    other = Thread(target=lambda: found.append(queries.op3_near_dedup(spark, d)))
+    other.start()
+    out = corpus_pipeline.run(spark, d)
+    other.join()
+    assert frame.count() == before and found[0].count() == 200
+    assert out.count() > 0
+    assert not corpus_pipeline._STAGE.get().folders
