@@ -17,10 +17,12 @@ found where its copies meet:
 Texts are staged once in the shared folder with the number of the part they were written in; what is asked of a part, or
 covered in it, is written for that part, and no text is shuffled. Keys that many of a bounded sample of documents have
 are split by window (each window its own key), so that no passage that a large share of documents has meets in one task;
-the sample decides routes only, never what is found.
+the sample decides routes only, never what is found. Such a
+window's key and its context are two independent hashes, as the anchor's and the context's are elsewhere: a false copy
+needs both to agree, over 100 bits.
 
 Defined results: a null or empty text has no bytes. Rows of one id are one document as to removal: neither is before the
-other. A null id is before all others. An empty table gives an empty result. Texts are cut in slices for memory, not in
+other. A null id is before all others (but the least number there is, with which it counts as one document). An empty table gives an empty result. Texts are cut in slices for memory, not in
 meaning.
 """
 
@@ -45,10 +47,13 @@ SLICE = 2_000_000
 SAMPLE_DOCUMENTS, HOT_SHARE, HOT_KEYS = 3000, 0.01, 20_000
 #: Intervals are found in texts of at most about so many bytes at once, whole keys each (one key may need more).
 SUFFIX_BYTES = 4_000_000
+#: Bytes of texts for each bucket in which entries meet, and for each task; of tasks, at most so many, which go through their buckets one after another.
+BUCKET_BYTES, TASK_BYTES, TASKS = 4_000_000, 8_000_000, 20_000
+#: What a null id counts as when documents are put in order.
 NULL_ID = -(1 << 63)
 
 _U = np.uint64
-_MULTIPLIER = 0x9E3779B97F4A7C15
+_MULTIPLIER, _OTHER = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _BITS = 24  # of a position in a slice
 
 
@@ -66,12 +71,12 @@ def powers(n: int, base: int) -> np.ndarray:
 
 
 class Hashes:
-    """Hashes of any substrings of a text, by prefix sums; equal for equal bytes."""
+    """Hashes of any substrings of a text, by prefix sums; equal for equal bytes. Another multiplier and seed make another function."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, multiplier: int = _MULTIPLIER, seed: int = 11):
         n = len(data) + 1
-        self.sums = np.append(_U(0), np.cumsum(mix(data.astype(np.uint64) + _U(11)) * powers(n - 1, _MULTIPLIER)))
-        self.back = powers(n, pow(_MULTIPLIER, -1, 1 << 64))
+        self.sums = np.append(_U(0), np.cumsum(mix(data.astype(np.uint64) + _U(seed)) * powers(n - 1, multiplier)))
+        self.back = powers(n, pow(multiplier, -1, 1 << 64))
 
     def __call__(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
         return mix((self.sums[start + length] - self.sums[start]) * self.back[start] + np.asarray(length).astype(np.uint64))
@@ -167,7 +172,7 @@ def entries(batches: Iterable[pa.RecordBatch], buckets: int, hot: np.ndarray, le
             at = np.searchsorted(hot, key) if len(hot) else None
             if at is not None and (popular := hot[np.minimum(at, len(hot) - 1)] == key).any():
                 each = np.repeat(first[popular], count[popular]) + np.arange(count[popular].sum()) - np.repeat(np.cumsum(count[popular]) - count[popular], count[popular])
-                key, first, count = np.append(key[~popular], hashes(each, length)), np.append(first[~popular], each), np.append(count[~popular], np.ones(len(each), np.int64))
+                key, first, count = np.append(key[~popular], Hashes(data, _OTHER, 29)(each, length)), np.append(first[~popular], each), np.append(count[~popular], np.ones(len(each), np.int64))
             context = hashes(first, count + length - 1) >> _U(8)
             text = np.searchsorted(ends, first, "right")
             # of equal contexts in this slice, those of the smallest id go on; the others are covered
@@ -441,7 +446,7 @@ def cut(batches: Iterable[pa.RecordBatch], folder: str, carried: list[str], whol
                 found.append([{"start": a, "end": b} for a, b in spans])
                 left.append(kept)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("doc_id"), pa.array(list(map(len, texts)), pa.int64()), pa.array(found, spans_type), pa.array(left, pa.binary()), *(batch.column(c) for c in carried)],
+                [batch.column("row"), batch.column("id"), pa.array(list(map(len, texts)), pa.int64()), pa.array(found, spans_type), pa.array(left, pa.binary()), *(batch.column(c) for c in carried)],
                 names=["row", "doc_id", "n_bytes", "spans", "kept", *carried])
 
 
@@ -474,14 +479,15 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """row, doc_id, n_bytes, spans, kept, and the carried columns as carried_0, carried_1, ...: one row for each document."""
     spark = docs.sparkSession
     folder = stage_path(spark, "repeats")
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 2 * partitions  # tasks go through theirs one after another
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(col(text_col), F.lit("")).cast("binary").alias("text"), *(col(c).alias(f"carried_{k}") for k, c in enumerate(carry)))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), col(id_col).cast("long").alias("id"), F.coalesce(col(text_col), F.lit("")).cast("binary").alias("text"), *(col(c).alias(f"carried_{k}") for k, c in enumerate(carry)))
     schema = rows.schema
     rows.write.option("compression", "zstd").parquet(f"{folder}/texts")
     texts = spark.read.schema(schema).parquet(f"{folder}/texts")
     staged = texts.select("row", "doc_id", "text")
-    hot = hot_keys(staged, texts.count(), length)
+    total = texts.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(TASKS, total.bytes // TASK_BYTES))
+    buckets = max(2 * partitions, total.bytes // BUCKET_BYTES)
+    hot = hot_keys(staged, total.n, length)
 
     kinds = "bucket int, part long, rows binary, blob binary"
     met = staged.mapInArrow(lambda b: entries(b, buckets, hot, length), kinds)
@@ -519,7 +525,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """`docs` with the repeated strings cut from the texts, whole characters only; a column n_chars of numbers follows the text."""
     others = tuple(c for c in docs.columns if c not in (id_col, text_col))
     rows = cut_repeats(docs, id_col, text_col, length, others, whole_characters=True)
-    named = {id_col: F.nullif("doc_id", F.lit(NULL_ID)), text_col: F.col("kept").cast("string")} | {c: F.col(f"carried_{k}") for k, c in enumerate(others)}
+    named = {id_col: F.col("doc_id"), text_col: F.col("kept").cast("string")} | {c: F.col(f"carried_{k}") for k, c in enumerate(others)}
     if n_chars_col in others:
         named[n_chars_col] = F.length(named[text_col]).cast(docs.schema[n_chars_col].dataType)
     return rows.select(*(named[c].alias(c) for c in docs.columns))

@@ -212,7 +212,7 @@ def brute_removed(data, length=50):
 
 def removed(df):
     s = rp.cut_repeats(df)
-    out = s.select(F.nullif("doc_id", F.lit(rp.NULL_ID)), "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long"), F.size("spans").cast("long"), F.sha2("kept", 256))
+    out = s.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long"), F.size("spans").cast("long"), F.sha2("kept", 256))
     return sorted(map(tuple, out.collect()), key=repr)
 
 
@@ -257,6 +257,11 @@ def test_repeats_under_hot_keys(spark, monkeypatch):
     check_removed(tough(spark, 1))
 
 
+def test_the_least_id_is_kept(spark):
+    df = spark.createDataFrame([(rp.NULL_ID, "a" * 60), (5, "a" * 60)], "doc_id long, text string")
+    assert removed(df) == brute_removed([tuple(r) for r in df.collect()])
+
+
 def test_whole_characters(spark):
     df = spark.createDataFrame([(1, "é" * 40, "m"), (2, "x" + "é" * 40 + "ü", "n")], "doc_id long, text string, meta string").withColumn("n_chars", F.length("text"))
     out = rp.without_repeats(df).orderBy("doc_id").collect()
