@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as tx
 from lodestone.operators import candidates as cand
 from lodestone.operators import dense, fusion, lexical, ml, ranking, routing
+from lodestone.operators.settle import settled
 
 #: Weights of the champion's lists. Fixed values.
 WEIGHTS = {"word": 1.5, "char": 1.2, "title_params": 0.8, "dense": 0.5, "word_all": 0.4, "char_all": 0.3, "dense_all": 0.3}
@@ -72,10 +73,11 @@ def champion(train: DataFrame, queries: DataFrame, items: DataFrame, d: Depths |
     """
     d = d or Depths()
     held = items.withColumn("route", F.col("microcat").cast("string"))
-    found = lists(queries, held, routes_for(train, queries, d.routes, classifier), d, vectors)
-    fused = fusion.weighted_rrf(found, d.weights, limit=d.fused).drop("rank")
+    routes = settled(routes_for(train, queries, d.routes, classifier))
+    found = lists(queries, held, routes, d, vectors)
+    fused = settled(fusion.weighted_rrf(found, d.weights, limit=d.fused).drop("rank"))
     placed = ranking.with_places(fused, queries, items, ranking.location_centroids(items))
-    ranked = ranking.geo_cascade(placed, d.answer)
+    ranked = settled(ranking.geo_cascade(placed, d.answer))
     return ranking.fill_exactly(ranked.select("query_id", "item_id", "rank"), queries, items, d.answer)
 
 
