@@ -1,6 +1,7 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from helpers import rows
@@ -39,6 +40,14 @@ def test_recall(spark, sf):
     assert recall(spark, [(r.vec_id, [float(x) for x in r.embedding]) for r in e]) >= 0.95
 
 
+def test_extra_columns_that_clash(spark):
+    """Columns named as the operator names its own, and one with a dot, change nothing."""
+    r = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, r.normal(size=8).tolist()) for i in range(60)], "vec_id long, embedding array<double>")
+    more = df.select("*", *(F.lit(1).alias(c) for c in ("v", "entry", "bucket", "id", "part", "kind", "query_id", "score", "meta.url")))
+    assert rows(ann.nearest(more, k=5)) == rows(ann.nearest(df, k=5))
+
+
 def test_other_norms(spark):
     r = np.random.default_rng(4)
     data = [(i, (r.normal(size=10) * r.uniform(0.1, 3)).tolist()) for i in range(600)]
