@@ -11,6 +11,8 @@ from lodestone.functions.numeric import score as rounded
 from lodestone.operators.candidates import row_rank, top_k
 
 RRF_C = 60
+#: The score of a missing pair in a source that has no floor of its own. Fixed value.
+OTHER_FLOOR = -100.0
 
 
 def reciprocal_rank_fusion(candidates: DataFrame, c: int = RRF_C, limit: int = 50) -> DataFrame:
@@ -52,8 +54,11 @@ def pair_features(candidates: DataFrame, sources: Sequence[str]) -> DataFrame:
     return candidates.groupBy("query_id", "item_id").agg(*aggs, F.count_distinct("source").cast("int").alias("retriever_count"))
 
 
-def filled_features(features: DataFrame, sources: Sequence[str], k: int) -> DataFrame:
-    """Missing ranks are k + 1, missing scores one below the least of the whole table."""
+def filled_features(features: DataFrame, sources: Sequence[str], k: int, floors: Mapping[str, float] | None = None) -> DataFrame:
+    """Missing ranks are k + 1, missing scores one below the least of the whole table, or the floor given for their source (OTHER_FLOOR where it has none)."""
+    if floors is not None:
+        fixed = {f"{s}_score": F.coalesce(f"{s}_score", F.lit(float(floors.get(s, OTHER_FLOOR)))) for s in sources} | {f"{s}_rank": F.coalesce(f"{s}_rank", F.lit(k + 1)) for s in sources}
+        return features.withColumns(fixed)
     floors = features.agg(*(F.coalesce(F.min(f"{s}_score") - 1, F.lit(-1.0)).alias(f"__f_{s}") for s in sources))
     filled = features.crossJoin(F.broadcast(floors))
     out = {f"{s}_score": F.coalesce(f"{s}_score", f"__f_{s}") for s in sources} | {f"{s}_rank": F.coalesce(F.col(f"{s}_rank"), F.lit(k + 1)) for s in sources}

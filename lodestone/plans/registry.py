@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("text_queries", "split_queries", "candidate_queries", "lexical_queries", "dense_queries", "routing_queries", "ranking_queries", "eda_queries", "ml_queries", "pipeline_queries", "preparation_queries")
+MODULES = ("text_queries", "split_queries", "candidate_queries", "lexical_queries", "dense_queries", "routing_queries", "ranking_queries", "eda_queries", "ml_queries", "pipeline_queries", "preparation_queries", "feature_queries")
 
 
 def query(name: str, sql: str | None = None):
