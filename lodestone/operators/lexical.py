@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
 from lodestone.functions.numeric import score as rounded
-from lodestone.operators.blocks import best_in_blocks
+from lodestone.operators.blocks import best_in_blocks, best_of_distinct
 from lodestone.operators.candidates import pad_to_k, row_rank, top_k, union
 
 Analyzer = Callable[[Column], Column]
@@ -62,8 +62,8 @@ def frequencies(items: DataFrame, text: str, analyzer: Analyzer, by: tuple[str,
 
 
 def vectors(weighed: DataFrame, key: str, keep: tuple[str, ...] = (), unit: bool = True) -> DataFrame:
-    """key, keep, terms, weights (of length 1 if asked) from key, keep, term, raw."""
-    rows = weighed.groupBy(key, *keep).agg(F.collect_list(F.struct("term", "raw")).alias("t"))
+    """key, keep, terms (in ascending order), weights (of length 1 if asked) from key, keep, term, raw."""
+    rows = weighed.groupBy(key, *keep).agg(F.sort_array(F.collect_list(F.struct("term", "raw"))).alias("t"))
     weights = F.col("t.raw")
     if unit:
         norm = F.sqrt(F.aggregate("t", F.lit(0.0), lambda a, x: a + x["raw"] * x["raw"]))
@@ -72,8 +72,8 @@ def vectors(weighed: DataFrame, key: str, keep: tuple[str, ...] = (), unit: bool
     return rows.select(key, *keep, F.col("t.term").alias("terms"), weights.alias("weights"))
 
 
-def bm25_scores(items: DataFrame, queries: DataFrame, k: int, text: str = "text", by: tuple[str, ...] = (), k1: float = K1, b: float = B) -> DataFrame:
-    """Each query's k best, scores over 0. Robertson's weights, an idf below 0 counts as 0, a term that a query has twice counts twice. With `by`, an index for each value."""
+def bm25_vectors(items: DataFrame, queries: DataFrame, text: str = "text", by: tuple[str, ...] = (), k1: float = K1, b: float = B) -> tuple[DataFrame, DataFrame]:
+    """Items and queries as vectors. Robertson's weights, an idf below 0 counts as 0, a term that a query has twice counts twice. With `by`, an index for each value."""
     lengths = items.select(*by, F.size(plain_words(F.coalesce(F.col(text), F.lit("")))).alias("dl")).groupBy(*by).agg(F.avg("dl").alias("avgdl"))
     terms = counted(items, "item_id", text, plain_words, by).join(frequencies(items, text, plain_words, by).drop(*by), "term")
     terms = terms.join(F.broadcast(lengths), list(by)) if by else terms.crossJoin(F.broadcast(lengths))
@@ -81,7 +81,17 @@ def bm25_scores(items: DataFrame, queries: DataFrame, k: int, text: str = "text"
     weight = idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("avgdl")))
     held = vectors(terms.select("item_id", "term", weight.alias("raw")).where("raw > 0"), "item_id", unit=False)
     asked = vectors(counted(queries, "query_id", text, plain_words, by).select("query_id", "term", F.col("tf").cast("double").alias("raw")), "query_id", unit=False)
-    return best_in_blocks(held, asked, k).drop("block")
+    return held, asked
+
+
+def bm25_scores(items: DataFrame, queries: DataFrame, k: int, text: str = "text", by: tuple[str, ...] = (), k1: float = K1, b: float = B) -> DataFrame:
+    """Each query's k best, scores over 0."""
+    return best_in_blocks(*bm25_vectors(items, queries, text, by, k1, b), k).drop("block")
+
+
+def bm25_of_many(items: DataFrame, queries: DataFrame, k: int, text: str = "text") -> DataFrame:
+    """Top k, scores over 0, for any number of queries: texts of equal vectors are searched once, and tasks hold a bounded number of queries."""
+    return best_of_distinct(*bm25_vectors(items, queries, text), k)
 
 
 def bm25(items: DataFrame, queries: DataFrame, k: int, text: str = "text") -> DataFrame:

@@ -224,7 +224,7 @@ def bm25_many_queries(spark, d):
     """As many queries as items, as a validation has them: each part's own name and type."""
     i = m.items(spark, d)
     q = i.select(F.col("item_id").alias("query_id"), F.concat_ws(" ", "title", "params").alias("text"))
-    return lexical.top_k(lexical.bm25_scores(i, q, K), K)
+    return lexical.bm25_of_many(i, q, K)
 
 
 @query("tfidf_max_features", m.sql(", kept AS (SELECT term FROM " + words("item_id", "lower(text)", "items") + " GROUP BY term ORDER BY count(*) DESC, term LIMIT 40)" + tfidf_sql("(SELECT * FROM " + words("item_id", "lower(text)", "items") + " WHERE term IN (SELECT term FROM kept))", "(SELECT * FROM " + words("query_id", "lower(text)", "queries") + " WHERE term IN (SELECT term FROM kept))") + f" SELECT *, {_TOP} AS rank FROM hits QUALIFY rank <= {K}", "items", "queries"))

@@ -1,7 +1,7 @@
 import numpy as np
 
 from helpers import rows
-from lodestone.operators import dense, lexical, ranking, routing
+from lodestone.operators import blocks, dense, lexical, ranking, routing
 
 ITEMS = "item_id string, text string"
 
@@ -108,3 +108,34 @@ def test_exact_length(spark):
     r = spark.createDataFrame([("q", "m", 1)], "query_id string, item_id string, rank int")
     corpus = spark.createDataFrame([("m", 0), ("z", 1), ("a", 2)], "item_id string, position long")
     assert ranked(ranking.fill_exactly(r, r.select("query_id"), corpus, 3)) == ["m", "z", "a"]
+
+
+def meeting(monkeypatch):
+    """How many items and queries have met in blocks, and in how many parts."""
+    seen, meet = [], blocks.best_in_blocks
+
+    def counted(items, queries, k, outside_k=0, parts=1):
+        seen.append((items.count(), queries.count(), parts))
+        return meet(items, queries, k, outside_k, parts)
+
+    monkeypatch.setattr(blocks, "best_in_blocks", counted)
+    return seen
+
+
+def test_many_queries_of_equal_texts_meet_once(spark, monkeypatch):
+    texts = ["red car", "blue car", "red phone", "old boat", "new bike"]
+    items = spark.createDataFrame([(f"i{n:02d}", texts[n % 5]) for n in range(40)], ITEMS)
+    queries = spark.createDataFrame([(f"q{n:02d}", ["red", "car blue", "nothing", "boat boat red"][n % 4]) for n in range(16)], "query_id string, text string")
+    want = rows(lexical.top_k(lexical.bm25_scores(items, queries, 12), 12), "query_id", "item_id", "score", "rank")
+    monkeypatch.setattr(blocks, "ASKING", 2)
+    seen = meeting(monkeypatch)
+    assert rows(lexical.bm25_of_many(items, queries, 12), "query_id", "item_id", "score", "rank") == want
+    assert seen == [(5, 4, 2)] and {r[0] for r in want} == {f"q{n:02d}" for n in range(16) if n % 4 != 2}
+
+
+def test_best_adds_what_rounds_to_more():
+    best = blocks.Best(1, 1, 0.0)
+    best.add(np.array([[0.0, 4e-10, 6e-10]]), None, 0)
+    assert [x.tolist() for x in best.compact()] == [[0], [2], [1e-9]]
+    best.add(np.array([[1.4e-9, 1.6e-9]]), None, 3)
+    assert [x.tolist() for x in best.compact()] == [[0], [4], [2e-9]]
