@@ -10,7 +10,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.blocks import best_in_blocks
+from lodestone.operators.blocks import best_in_blocks, parts_for
 from lodestone.operators.candidates import top_k
 
 
@@ -21,9 +21,9 @@ def validate_vectors(vectors: DataFrame, key: str, vector: str = "embedding") ->
 
 
 def exact_top_k(items: DataFrame, queries: DataFrame, k: int, vector: str = "embedding") -> DataFrame:
-    """Each query against every item, by matrix products where blocks of items meet the queries."""
+    """Each query against every item, by matrix products where blocks of items meet parts of the queries."""
     v = F.col(vector).cast("array<double>").alias("v")
-    return top_k(best_in_blocks(items.select("item_id", v), queries.select("query_id", v), k).drop("block"), k)
+    return top_k(best_in_blocks(items.select("item_id", v), queries.select("query_id", v), k, parts=parts_for(queries.count())).drop("block"), k)
 
 
 def routed_top_k(items: DataFrame, queries: DataFrame, allowed: DataFrame, k: int, fallback_k: int = 0, vector: str = "embedding") -> DataFrame:

@@ -24,6 +24,24 @@ def query_recall(candidates: DataFrame, truth: DataFrame, ks: Sequence[int]) ->
     return every.join(hits, ["query_id", "k"], "left").withColumn("hits", F.coalesce("hits", F.lit(0))).withColumn("recall", F.col("hits") / F.col("relevant"))
 
 
+def same_label_recall(candidates: DataFrame, labels: DataFrame, ks: Sequence[int]) -> DataFrame:
+    """k, recall, queries, as recall_at where an id's truth are all other ids that share a label with it; ids without such have no part.
+
+    labels: id, label, which an id may have more of. Pairs of the truth never become rows: ids of the same labels are a class, and classes are counted.
+    """
+    ids = labels.groupBy("id").agg(F.sort_array(F.collect_set("label")).alias("labels")).where(F.size("labels") > 0)
+    classes = ids.groupBy("labels").agg(F.count("*").alias("n"))
+    one = classes.select("labels", F.explode("labels").alias("label"))
+    other = classes.select(F.col("labels").alias("others"), F.explode("labels").alias("label"), "n")
+    sizes = one.join(other, "label").select("labels", "others", "n").distinct().groupBy("labels").agg((F.sum("n") - 1).alias("relevant"))
+    relevant = ids.join(sizes, "labels").where(F.col("relevant") > 0).select(F.col("id").alias("query_id"), "relevant")
+    pairs = cutoffs(candidates.where(F.col("query_id") != F.col("item_id")), ks).select("query_id", "item_id", "k").distinct()
+    met = pairs.join(ids.select(F.col("id").alias("query_id"), F.col("labels").alias("a")), "query_id").join(ids.select(F.col("id").alias("item_id"), F.col("labels").alias("b")), "item_id")
+    hits = met.where(F.arrays_overlap("a", "b")).groupBy("query_id", "k").agg(F.count("*").alias("hits"))
+    every = relevant.withColumn("k", F.explode(F.array(*map(F.lit, ks)))).join(hits, ["query_id", "k"], "left")
+    return every.groupBy("k").agg(rounded(F.avg(F.coalesce("hits", F.lit(0)) / F.col("relevant"))).alias("recall"), F.count("*").alias("queries"))
+
+
 def recall_at(candidates: DataFrame, truth: DataFrame, ks: Sequence[int]) -> DataFrame:
     """Mean over the queries of the truth; with several sources this is the coverage of their union."""
     return query_recall(candidates, truth, ks).groupBy("k").agg(rounded(F.avg("recall")).alias("recall"), F.count("*").alias("queries"))

@@ -48,8 +48,7 @@ def dense_recall(spark, d):
     found = dense.exact_top_k(i, q, 21).where("query_id <> item_id")
     from lodestone.operators.candidates import top_k
 
-    same = q.join(i, q["label"] == i["route"]).where("query_id <> item_id").select("query_id", "item_id")
-    return evaluate.recall_at(top_k(found.drop("rank"), 20), same, (5, 10, 20))
+    return evaluate.same_label_recall(top_k(found.drop("rank"), 20), i.select(F.col("item_id").alias("id"), F.col("route").alias("label")), (5, 10, 20))
 
 
 @query("vector_contract", "SELECT count(*) AS vectors, count(DISTINCT vec_id) AS keys, CAST(min(len(embedding)) AS INTEGER) AS least, CAST(max(len(embedding)) AS INTEGER) AS greatest, count(*) FILTER (embedding IS NULL OR len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) > 0) AS bad FROM embeddings")

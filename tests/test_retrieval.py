@@ -1,7 +1,11 @@
+import re
+
 import numpy as np
+from pyspark.sql import functions as F
 
 from helpers import rows
-from lodestone.operators import blocks, dense, lexical, ranking, routing
+from lodestone.operators import blocks, dense, evaluate, lexical, ranking, routing
+from lodestone.plans import dense_queries
 
 ITEMS = "item_id string, text string"
 
@@ -139,3 +143,20 @@ def test_best_adds_what_rounds_to_more():
     assert [x.tolist() for x in best.compact()] == [[0], [2], [1e-9]]
     best.add(np.array([[1.4e-9, 1.6e-9]]), None, 3)
     assert [x.tolist() for x in best.compact()] == [[0], [4], [2e-9]]
+
+
+def test_recall_of_shared_labels_without_pairs(spark):
+    labels = spark.createDataFrame([("a", 1), ("b", 1), ("b", 2), ("c", 2), ("d", 3), ("e", None), ("f", 1), ("f", 1)], "id string, label int")
+    found = spark.createDataFrame([("a", "b", 1), ("a", "a", 2), ("a", "c", 3), ("b", "c", 1), ("b", "f", 2), ("c", "e", 1), ("d", "a", 1), ("f", "a", 2)], "query_id string, item_id string, rank int")
+    other = labels.select(F.col("id").alias("item_id"), "label")
+    pairs = labels.withColumnRenamed("id", "query_id").join(other, "label").where("query_id <> item_id")
+    assert rows(evaluate.same_label_recall(found, labels, (1, 3)), "k", "recall", "queries") == rows(evaluate.recall_at(found, pairs, (1, 3)), "k", "recall", "queries")
+
+
+def test_dense_recall_makes_no_rows_of_pairs(spark, tmp_path):
+    n = 300
+    frame = spark.range(n).select(F.col("id").alias("vec_id"), F.array(F.cos("id"), F.sin("id")).cast("array<float>").alias("embedding"), F.lit(1).alias("label"))
+    frame.write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = dense_queries.dense_recall(spark, str(tmp_path))
+    assert rows(out, "k", "recall", "queries") == sorted([(k, round(k / (n - 1), 9), n) for k in (5, 10, 20)], key=repr)
+    assert not re.search(r"Join.*label#\d+ = route#", out._jdf.queryExecution().optimizedPlan().toString())
