@@ -241,10 +241,10 @@ def multi_branch(items: DataFrame, queries: DataFrame, k: int, texts: dict[str,
 
 def numeric_overlap(items: DataFrame, queries: DataFrame, k: int, text: str = "text") -> DataFrame:
     """Shared distinct numbers over the query's numbers; queries without a number have no rows."""
-    numbers = F.transform(tx.canonical_numbers(text), lambda x: F.xxhash64(x)).alias("terms")
+    numbers = F.array_sort(F.transform(tx.canonical_numbers(text), lambda x: F.xxhash64(x))).alias("terms")
     held = items.select("item_id", numbers).where(F.size("terms") > 0).withColumn("weights", F.transform("terms", lambda x: F.lit(1.0)))
     asked = queries.select("query_id", numbers).where(F.size("terms") > 0).withColumn("weights", F.transform("terms", lambda x: 1.0 / F.size("terms")))
-    return top_k(best_in_blocks(held, asked, k).drop("block"), k)
+    return best_of_distinct(held, asked, k)
 
 
 def historical_intent(contexts: DataFrame, positives: DataFrame, queries: DataFrame, k: int, neighbours: int = 20) -> DataFrame:

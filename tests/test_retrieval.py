@@ -145,6 +145,18 @@ def test_best_adds_what_rounds_to_more():
     assert [x.tolist() for x in best.compact()] == [[0], [4], [2e-9]]
 
 
+def test_numbers_of_equal_texts_meet_once(spark, monkeypatch):
+    items = spark.createDataFrame([(f"i{n:02d}", ["12 128 гб", "128gb, 12", "12", "none"][n % 4]) for n in range(24)], ITEMS)
+    queries = spark.createDataFrame([(f"q{n}", ["12 7", "7 128gb 12"][n % 2]) for n in range(8)], "query_id string, text string")
+    seen = meeting(monkeypatch)
+    out = rows(lexical.numeric_overlap(items, queries, 14), "query_id", "item_id", "score", "rank")
+    both, one = ([f"i{n:02d}" for n in range(24) if n % 4 in x] for x in ((0, 1), (2,)))
+    tied = sorted(both + one)[:14]
+    want = [(f"q{n}", i, round(s, 9), r) for n in range(8) for r, (i, s) in enumerate(([(i, 0.5) for i in tied], [(i, 2 / 3) for i in both] + [(i, 1 / 3) for i in one[:2]])[n % 2], 1)]
+    assert out == sorted(want)
+    assert seen == [(2, 2, 1)]
+
+
 def test_recall_of_shared_labels_without_pairs(spark):
     labels = spark.createDataFrame([("a", 1), ("b", 1), ("b", 2), ("c", 2), ("d", 3), ("e", None), ("f", 1), ("f", 1)], "id string, label int")
     found = spark.createDataFrame([("a", "b", 1), ("a", "a", 2), ("a", "c", 3), ("b", "c", 1), ("b", "f", 2), ("c", "e", 1), ("d", "a", 1), ("f", "a", 2)], "query_id string, item_id string, rank int")
