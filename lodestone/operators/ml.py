@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.operators.candidates import top_k
+from lodestone.operators.settle import staged
 
 KEYS = ("query_id", "item_id", "label", "fold", "split")
 
@@ -27,14 +28,26 @@ def feature_columns(df: DataFrame) -> list[str]:
 
 
 def train_selector(table: DataFrame, features: Sequence[str] | None = None, trees: int = 20, depth: int = 4, seed: int = 42):
-    """Boosted trees on label 0 or 1; stands for the reference's own booster."""
+    """Boosted trees on label 0 or 1; stands for the reference's own booster.
+
+    Every row counts: rows of equal features and label are one instance, of their number's weight, which is the same to a tree.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
     names = list(features or feature_columns(table))
-    stages = [VectorAssembler(inputCols=names, outputCol="features"), GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, labelCol="label")]
-    return Pipeline(stages=stages).fit(table.withColumn("label", F.col("label").cast("double")))
+    stages = [VectorAssembler(inputCols=names, outputCol="features"), GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, labelCol="label", weightCol="__times")]
+    instances = distinct_instances(table, names).persist()  # read again for each level of each tree
+    try:
+        return Pipeline(stages=stages).fit(instances)
+    finally:
+        instances.unpersist()
+
+
+def distinct_instances(table: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The distinct features and labels, and how often each occurs (__times)."""
+    return table.groupBy(*names, F.col("label").cast("double").alias("label")).agg(F.count("*").cast("double").alias("__times"))
 
 
 def score_selector(model, table: DataFrame) -> DataFrame:
@@ -67,7 +80,8 @@ def rank_out_of_fold(table: DataFrame, limit: int = 50, folds: int = 5, seed: in
 
     names = list(features or feature_columns(table))
     within = Window.partitionBy("query_id")
-    wide = table.withColumns({f"{n}_within": F.col(n) - F.avg(n).over(within) for n in names}).withColumn("fold", hash_bucket(F.concat(F.lit(f"{seed}:"), "query_id"), folds))
+    fold = hash_bucket(F.concat(F.lit(f"{seed}:"), "query_id"), folds).alias("fold")
+    wide = staged(table.select("query_id", "item_id", "label", *names, *((F.col(n) - F.avg(n).over(within)).alias(f"{n}_within") for n in names), fold), "fold")
     used, out = [*names, *(f"{n}_within" for n in names)], None
     for n in range(folds):
         model = train_selector(wide.where(F.col("fold") != n), used, trees, depth, seed)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.operators import contracts, evaluate, fusion, ml, preparation, rerank, routing
+from lodestone.operators.settle import staged
 from lodestone.plans import mapping as m
 from lodestone.plans import routing_queries as rt
 from lodestone.plans.candidate_queries import SOURCES
@@ -244,5 +245,5 @@ def routing_grid(spark, d):
 @query("ranker_oof_topk")
 def ranker_oof_topk(spark, d):
     """A ranker's answers, each query's by a model that hasn't seen it; another solver than any SQL has."""
-    f = fusion.filled_features(fusion.pair_features(m.candidates(spark, d), SOURCES), SOURCES, 50)
+    f = fusion.filled_features(staged(fusion.pair_features(m.candidates(spark, d), SOURCES)), SOURCES, 50)
     return ml.rank_out_of_fold(fusion.labelled(f, m.truth(spark, d)), 20)

@@ -87,3 +87,34 @@ def test_selected_ranks_every_query_by_a_model_that_did_not_see_it(spark, monkey
     assert not any(seen & asked for seen, asked in ranked) and sorted(q for _, asked in ranked for q in asked) == sorted(every)
     __spark_entry__.queries()["selector_gbt_topk"](spark, SF)
     assert set(size) == {(20, 4)}
+
+
+def test_equal_rows_train_as_one_of_their_weight(spark, monkeypatch):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    x = F.col("id") % 12
+    table = spark.range(600).select(F.col("id").cast("string").alias("query_id"), x.cast("double").alias("a"), (x * x % 7).alias("b"), ((x * x % 5 + F.col("id") % 3) > 3).cast("int").alias("label"))
+    plain = Pipeline(stages=[VectorAssembler(inputCols=["a", "b"], outputCol="features"), GBTClassifier(maxIter=5, maxDepth=3, seed=42)]).fit(table.withColumn("label", F.col("label").cast("double")))
+    seen, rows_of = [], ml.distinct_instances
+    monkeypatch.setattr(ml, "distinct_instances", lambda t, names: seen.append(rows_of(t, names)) or seen[-1])
+    model = ml.train_selector(table, ["a", "b"], 5, 3)
+    scores = [{r.query_id: r.final_score for r in ml.score_selector(one, table).collect()} for one in (plain, model)]
+    assert all(abs(scores[0][q] - s) < 1e-8 for q, s in scores[1].items()) and len(set(scores[0].values())) > 2
+    assert (seen[0].count(), seen[0].agg(F.sum("__times")).first()[0]) == (table.select("a", "b", "label").distinct().count(), 600.0)
+    assert not seen[0].is_cached
+
+
+def test_features_are_made_once_for_all_folds(spark):
+    scanned = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def slow(v):
+        scanned.add(1)
+        return v
+
+    table = spark.range(60).select((F.col("id") % 20).cast("string").alias("query_id"), F.col("id").cast("string").alias("item_id"), (F.col("id") % 2).cast("int").alias("label"), slow((F.col("id") % 7).cast("double")).alias("x"))
+    out = ml.rank_out_of_fold(table, 2, folds=2, trees=1, depth=2)
+    assert out.groupBy("query_id").count().where("count = 2").count() == 20 and out.columns == ["query_id", "item_id", "fold", "final_score", "rank"]
+    assert scanned.value == 60
