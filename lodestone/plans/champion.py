@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as tx
 from lodestone.operators import candidates as cand
 from lodestone.operators import dense, fusion, lexical, ml, ranking, routing
-from lodestone.operators.settle import settled
+from lodestone.operators.settle import settled, staged
 
 #: Weights of the champion's lists. Fixed values.
 WEIGHTS = {"word": 1.5, "char": 1.2, "title_params": 0.8, "dense": 0.5, "word_all": 0.4, "char_all": 0.3, "dense_all": 0.3}
@@ -85,8 +85,9 @@ def selected(candidates: DataFrame, truth: DataFrame, sources: tuple[str, ...],
     """The learned pipeline: features over the union of all lists, and for each fold of the queries the ranking of a selector tuned on the others."""
     from lodestone.functions.ids import hash_bucket
 
-    table = fusion.labelled(fusion.filled_features(fusion.pair_features(candidates.where(F.col("rank") <= depth), sources), sources, depth), truth)
-    marked = table.withColumn("part", hash_bucket(F.concat(F.lit("selector:"), "query_id"), folds))
+    pairs = staged(fusion.pair_features(candidates.where(F.col("rank") <= depth), sources))
+    table = fusion.labelled(fusion.filled_features(pairs, sources, depth), truth)
+    marked = staged(table.withColumn("part", hash_bucket(F.concat(F.lit("selector:"), "query_id"), folds)), "part")
     names, out = ml.feature_columns(table), None
     for n in range(folds):
         model = ml.train_selector(marked.where(F.col("part") != n).drop("part"), names)

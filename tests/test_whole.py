@@ -118,3 +118,19 @@ def test_features_are_made_once_for_all_folds(spark):
     out = ml.rank_out_of_fold(table, 2, folds=2, trees=1, depth=2)
     assert out.groupBy("query_id").count().where("count = 2").count() == 20 and out.columns == ["query_id", "item_id", "fold", "final_score", "rank"]
     assert scanned.value == 60
+
+
+def test_selected_makes_its_features_once(spark, monkeypatch):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def slow(v):
+        made.add(1)
+        return v
+
+    monkeypatch.setattr(ml, "train_selector", lambda table, features=None: table.count())
+    monkeypatch.setattr(ml, "rank_with_selector", lambda seen, table, limit=50: table.withColumns({"final_score": F.lit(0.0), "rank": F.lit(1)}))
+    c = spark.range(40).select(F.col("id").cast("string").alias("query_id"), F.lit("a").alias("item_id"), F.lit("A").alias("source"), slow(F.col("id").cast("double")).alias("score"), F.lit(1).alias("rank"))
+    truth = spark.createDataFrame([("1", "a")], "query_id string, item_id string")
+    assert champion.selected(c, truth, ("A",)).count() == 40
+    assert made.value == 40
