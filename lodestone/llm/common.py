@@ -106,6 +106,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def reread(staged: DataFrame, spark: SparkSession) -> DataFrame:
+    """A staged table as another session reads it."""
+    out = spark.read.schema(staged.schema).parquet(staged._staged)
+    out._staged = staged._staged
+    return out
+
+
+def small_batches(spark: SparkSession, rows: int = 1024, mb: int = 8) -> SparkSession:
+    """A copy of the session that sends Python workers batches of at most so many rows, and about so many MB. Queries in the given one keep their batches."""
+    out = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    out.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    out.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", mb << 20)
+    return out
+
+
 def col(name: str) -> Column:
     """The column of exactly this name, dots and all."""
     return F.col("`" + name.replace("`", "``") + "`")

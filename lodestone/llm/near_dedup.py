@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from lodestone.llm.common import Scope, col, stage, stage_path
+from lodestone.llm.common import Scope, col, reread, small_batches, stage, stage_path
 from lodestone.llm.part_files import filter_rows, write_rows
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -50,6 +50,8 @@ BLOCK, REGISTER_WORDS = 1 << 19, REGISTERS // 4
 NEAREST = 6
 #: Texts to compare meet in tiles of about so many heads and blocks of so many members.
 HEADS, MEMBERS = 64, 512
+#: Rows, and words of several rows, that a worker cuts into shingles at once.
+SLICE_ROWS, SLICE_WORDS = 512, 1 << 18
 
 _U = np.uint64
 
@@ -90,6 +92,17 @@ def shingles(words: np.ndarray, counts: np.ndarray, width: int = SHINGLE) -> tup
     return doc[where], out[where], np.diff(np.append(where, len(doc))).astype(np.float64)
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most SLICE_ROWS rows and SLICE_WORDS words (column words); a row of more words is a slice by itself."""
+    ends = np.cumsum(np.array(batch.column("words").value_lengths(), np.int64))
+    at = 0
+    while at < batch.num_rows:
+        words = int(ends[at - 1]) if at else 0
+        to = min(at + SLICE_ROWS, max(at + 1, int(np.searchsorted(ends, words + SLICE_WORDS, "right"))))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def arrivals(element: np.ndarray, weight: np.ndarray, before: np.ndarray, index: int, n: int, registers: int) -> tuple[np.ndarray, np.ndarray]:
     """The next n arrivals of each element, from number `index` on, after time `before`: their times and registers."""
     bits = mix(element[:, None] + mix(np.arange(index, index + n, dtype=np.uint64) * _U(0xD1342543DE82EF95) + _U(1))[None, :])
@@ -138,8 +151,7 @@ def signed(words: DataFrame, registers: int = REGISTERS, width: int = SHINGLE) -
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for batch in slices(whole):
                 lists = batch.column("words")
                 counts = np.array(lists.value_lengths(), np.int64)
                 doc, element, weight = shingles(lists.flatten().to_numpy(zero_copy_only=False), counts, width)
@@ -193,8 +205,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, partitions: i
         known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         now = None
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for batch in slices(whole):
                 lists = batch.column("words")
                 counts = np.array(lists.value_lengths(), np.int64)
                 doc, element, weight = shingles(lists.flatten().to_numpy(zero_copy_only=False), counts, width)
@@ -254,8 +265,10 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
         rows = docs.select(F.monotonically_increasing_id().alias("row"), col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"), *(col(c).alias(f"carried_{k}") for k, c in enumerate(carry)))
         rows = stage(rows, "documents")
         words = split_words(F.col("text"))
-        seen = rows.select("row", "doc_id", F.unhex(F.substring(F.sha2(F.array_join(words, " "), 256), 1, 32)).alias("same"), F.transform(words, lambda w: F.xxhash64(w)).alias("words"))
-        copies = stage(signed(seen, width=width), "signed")
+        # whole texts and all their words go to Python workers in small batches, in a session of their own
+        narrow = small_batches(spark)
+        seen = reread(rows, narrow).select("row", "doc_id", F.unhex(F.substring(F.sha2(F.array_join(words, " "), 256), 1, 32)).alias("same"), F.transform(words, lambda w: F.xxhash64(w)).alias("words"))
+        copies = reread(stage(signed(seen, width=width), "signed"), spark)
         # one node for each sequence of words, named by its first row; copies are counted before the shuffle
         nodes = stage(copies.groupBy("same").agg(F.min("row").alias("node"), F.min("doc_id").alias("low"), F.first("registers").alias("registers"), F.first("size").alias("size")), "nodes")
         labels = labelled(rows, nodes, threshold, width)
@@ -278,7 +291,8 @@ def labelled(rows: DataFrame, nodes: DataFrame, threshold: float, width: int) ->
         keys = signs.select("node", "size", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: band(F.col("registers"), k))).alias("band", "key"))
         shared = keys.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
         met = stage(keys.join(shared, "key"), "candidates")
-        texts = stage(only(rows.select("row", "text"), met.select("node")).select("row", F.transform(split_words(F.col("text")), lambda w: F.xxhash64(w)).alias("words")), "candidate-texts")
+        found = only(reread(rows, small_batches(spark)).select("row", "text"), met.select("node"))
+        texts = reread(stage(found.select("row", F.transform(split_words(F.col("text")), lambda w: F.xxhash64(w)).alias("words")), "candidate-texts"), spark)
 
         def compared(pairs: DataFrame) -> DataFrame:
             return verified(pairs, texts, threshold, partitions, width)

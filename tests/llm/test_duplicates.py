@@ -2,6 +2,7 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -176,6 +177,41 @@ def exists(spark, frame):
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
+def test_slices_are_bounded_by_words(monkeypatch):
+    monkeypatch.setattr(nd, "SLICE_ROWS", 4)
+    monkeypatch.setattr(nd, "SLICE_WORDS", 10)
+    counts = [3, 3, 3, 3, 0, 25, 10, 1, 0, 0, 0, 0, 0, 9, 2]
+    batch = pa.RecordBatch.from_arrays([pa.array([list(range(n)) for n in counts], pa.list_(pa.int64()))], names=["words"])
+    parts = [[len(w) for w in x.column("words").to_pylist()] for x in nd.slices(batch)]
+    assert parts == [[3, 3, 3], [3, 0], [25], [10], [1, 0, 0, 0], [0, 0, 9], [2]]
+    assert list(nd.slices(batch.slice(0, 0))) == []
+
+
+def test_texts_come_in_small_batches(spark, monkeypatch):
+    """Long texts reach the workers in batches of a few MB, and the caller's session keeps its own batches."""
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(key)
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("a b c d e "), F.repeat(F.lit("word "), 600), F.col("id")).alias("text")).coalesce(1)
+
+    def spied(name):
+        real = getattr(nd, name)
+
+        def call(table, *rest, **more):
+            if "text" in table.columns or "words" in table.columns and "same" in table.columns:
+                sizes = table.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"]) for b in batches), "n long, size long")
+                seen.append((name, sizes.agg(F.max("n"), F.max("size")).first()))
+            return real(table, *rest, **more)
+
+        monkeypatch.setattr(nd, name, call)
+
+    spied("signed")
+    spied("only")
+    assert nd.groups(docs)[0].count() == 6000
+    assert {name for name, _ in seen} == {"signed", "only"}
+    assert all(n <= 1024 and size < 16 << 20 for _, (n, size) in seen)
+    assert spark.conf.get(key) == before
+
+
 def test_registers_estimate_the_similarity():
     r = np.random.default_rng(2)
     for shared, only in ((60, 10), (30, 30), (3, 1)):
